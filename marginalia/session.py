@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,5 +38,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def ship(spark: SparkSession) -> None:
+    """Make this package importable for Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_marginalia_shipped", False):
+        return
+    here = Path(__file__).parent
+    name = Path(tempfile.mkdtemp(prefix="marginalia-")) / "marginalia_package.zip"
+    with zipfile.ZipFile(name, "w") as out:
+        for path in sorted(here.rglob("*.py")):
+            out.write(path, path.relative_to(here.parent))
+    context.addPyFile(str(name))
+    context._marginalia_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import only
+from marginalia.session import ship
 
 WINDOW = 10
 #: Bytes of normalised benchmark text in one automaton (about 60 times that in memory, at worst).
@@ -92,6 +93,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, bloc
     nothing. Document rows that repeat stay repeated.
     """
     spark = documents.sparkSession
+    ship(spark)
     docs = only(documents, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     items = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

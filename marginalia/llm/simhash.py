@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import only
-from marginalia.session import cut
+from marginalia.session import cut, ship
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: (bits, radius on the probing side, radius on the table side) of each segment, from the top.
@@ -42,6 +42,7 @@ def fingerprint(text: str | None, k: int = SHINGLE) -> int:
 
 def fingerprints(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long), one row a document. Null text has fingerprint 0."""
+    ship(documents.sparkSession)
     docs = only(documents, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import only
-from marginalia.session import cut, shared_dir
+from marginalia.session import cut, shared_dir, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -144,6 +144,7 @@ def token_counts(documents: DataFrame, *, vocabulary: str = VOCABULARY, eod: int
     empty table gives no rows. Files lie in the shared folder while this runs.
     """
     spark = documents.sparkSession
+    ship(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     where, base = _open(folder)
     where.create_dir(base, recursive=True)

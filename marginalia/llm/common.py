@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.text import let  # noqa: F401
+
 #: Separators of the plain word rule: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -27,11 +27,6 @@ def fold(doc_id: Column, modulus: int) -> Column:
     return (F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus).cast("int")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` over ``value``, which is computed once however often it's used."""
-    return F.transform(F.array(value), body)[0]
-
-
 def only(df, *names: str):
     """The columns an operator reads; whatever else a table has can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])

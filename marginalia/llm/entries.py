@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import decontam, mixing, quality, sharding, simhash, tokencount
+from marginalia.llm import ctw, decontam, mixing, pii, quality, secrets, sharding, simhash, tokencount, toxicity
 from marginalia.session import table
 
 
@@ -30,6 +30,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -38,12 +42,31 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    number = lambda kind: F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    listed = lambda spans: f"array_join(transform({spans}, c -> concat(c.kind, ':', c.start, ':', c.end)), ',')"
+    plain = "transform({}, c -> named_struct('rank', c.rank, 'start', c.start, 'end', c.end, 'kind', c.kind))"
+    return pii.find(table(spark, sf_dir, "documents")).select(
+        "doc_id", number("email"), number("ip"), number("card"), number("phone"), F.sha2(F.expr(listed("base")), 256).alias("base_sha256"),
+        F.expr(listed(f"array_sort(concat({plain.format('base')}, {plain.format('added')}))")).alias("spans"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    made = [op1_quality_rules, op2_decontamination, op3_token_counts, op5_simhash_near_dedup, op6_mixing, op8_sharding]
+    made = [
+        op1_quality_rules, op2_decontamination, op3_token_counts, op4_lm_scoring, op5_simhash_near_dedup, op6_mixing, op7_pii, op8_sharding, op9_toxicity, op10_secret_scan,
+    ]
     return {f.__name__: f for f in made}
 
 

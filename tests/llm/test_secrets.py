@@ -1,0 +1,44 @@
+import hashlib
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from marginalia.llm import secrets, trees
+from marginalia.llm.spans import spans
+
+KEY = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda"
+
+
+def test_held_out_accuracy(spark):
+    forest = secrets.fit(spark)
+    made = secrets.features("c")
+    frame = spark.createDataFrame(secrets.labelled_findings(800, seed=5), "text string, mark int")
+    rows = frame.select("text", "mark", F.expr(f"explode({spans('text', secrets.CANDIDATE, 'secret')}) as c")).select("mark", F.expr(f"named_struct({', '.join(f'{chr(39)}{n}{chr(39)}, {s}' for n, s in made.items())}) as f"))
+    scored = rows.select("mark", F.expr(forest.sql([f"f.{n}" for n in made])).alias("p")).collect()
+    assert len(scored) > 600 and sum((r.p >= 0.5) == bool(r.mark) for r in scored) > 0.93 * len(scored)
+
+
+def test_findings(spark):
+    rows = [(1, f'ü then token = "{KEY}" and more'), (2, f"commit {KEY} fixed it"), (3, "the river stone walks under 2019 light"), (4, None), (5, ""),
+            (6, "-----BEGIN RSA PRIVATE KEY-----"), (1, f'ü then token = "{KEY}" and more'), (7, "a" * 400 + "1 " + "b1" * 200)]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    by = {r.doc_id: r for r in got}
+    assert (by[1].start, by[1].end, by[1].value_sha256, by[1].secret) == (16, 56, hashlib.sha256(KEY.encode()).hexdigest(), True)
+    assert not by[2].secret and 3 not in by and 4 not in by and 6 in by
+    assert sum(r.doc_id == 1 for r in got) == 2
+
+
+def test_edges(documents, empty):
+    assert secrets.scan(empty).count() == 0
+    assert secrets.scan(documents).count() == 0
+
+
+def test_sql_of_trees_is_the_tree(spark):
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(200, 3))
+    y = (x[:, 0] + x[:, 1] ** 2 > 0.5).astype(float)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double")
+    for made in (trees.boost(x, y, rounds=10), trees.forest(x, y, size=5)):
+        got = [r[0] for r in df.select(F.expr(made.sql(["a", "b", "c"]))).collect()]
+        np.testing.assert_allclose(got, made.predict(x), rtol=1e-12)
+        assert ((made.predict(x) > 0.5) == y).mean() > 0.9

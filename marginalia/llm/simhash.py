@@ -53,11 +53,11 @@ def fingerprints(documents: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
-def _ball(value: str, width: int, plan: Sequence[tuple[int, int, int]], side: int) -> Column:
+def _ball(value: str, width: int, plan: Sequence[tuple[int, int, int]], side: int, either: bool = True) -> Column:
     """Keys under which ``value`` (its low ``width`` bits) stands on one side: segment number and bits.
 
-    Where only the probing side has a ball, it need only turn zeros to ones: of
-    two values that differ in one bit, one has the zero.
+    Where only the probing side has a ball and ``either`` of two values may
+    probe, it need only turn zeros to ones: one of them has the zero.
     """
     keys, shift = [], width
     for n, (bits, *radius) in enumerate(plan):
@@ -66,7 +66,7 @@ def _ball(value: str, width: int, plan: Sequence[tuple[int, int, int]], side: in
         keys.append(f"array({tag} | {part})")
         if radius[side]:
             which = f"sequence(0, {bits - 1})"
-            if not all(radius):
+            if either and not all(radius):
                 which = f"filter({which}, i -> (shiftright({part}, i) & 1L) = 0)"
             keys.append(f"transform({which}, i -> {tag} | ({part} ^ shiftleft(1L, i)))")
     return F.expr(f"concat({', '.join(keys)})")
@@ -99,7 +99,7 @@ def links(fps: DataFrame, plan: Sequence[tuple[int, int, int]] = NARROW, distanc
             for n, (bits, *_) in enumerate(plan):
                 low -= bits
                 sub = _ball(f"(shiftleft(shiftrightunsigned({name}, {min(63, low + bits)}), {low}) | ({name} & {(1 << low) - 1}L))" if n else f"({name} & {(1 << low) - 1}L)",
-                            64 - bits, _thirds(64 - bits), side)
+                            64 - bits, _thirds(64 - bits), side, either=False)
                 rest = F.when(F.shiftrightunsigned("key", 40) == n, sub) if rest is None else rest.when(F.shiftrightunsigned("key", 40) == n, sub)
             lows.append(df.join(heavy, "key", "left_semi").select("key", F.explode(rest).alias("sub"), name))
         found = lows[0].join(lows[1], ["key", "sub"]).where(near).select("fp", "other")
@@ -156,7 +156,16 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """Of every component the row with the smallest id (of rows with one id, one); all columns stay."""
-    kept = near_duplicates(documents).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    own = documents.columns
-    return documents.join(kept, documents["doc_id"].eqNullSafe(kept["__kept"]), "left_semi").dropDuplicates(["doc_id"]).select(*own)
+    """Of every component the row with the smallest id (of rows with one id, one); all columns stay.
+
+    What goes is named by id and taken out by an anti-join; only rows whose id
+    repeats are compared as wholes.
+    """
+    found = cut(near_duplicates(documents).select("doc_id", "component_id"))
+    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    left = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
+    again = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
+    if again.isEmpty():
+        return left
+    repeated = left["doc_id"].eqNullSafe(again["__again"])
+    return left.join(again, repeated, "left_anti").unionByName(left.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))

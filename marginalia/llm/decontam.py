@@ -95,18 +95,14 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, bloc
     spark = documents.sparkSession
     ship(spark)
     docs = only(documents, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
-    items = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = -(-total // block_bytes) or 1
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, n_words long, hits array<struct<start:long,end:long>>, words array<struct<first:long,end:long>>, items array<string>"
     found = None
-    for k in range(blocks):
-        own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k)
-        part = docs.mapInArrow(_scanner(spark.sparkContext.broadcast([(r.item, r.text) for r in own.collect()]), n), schema)
-        part = part.withColumn("block", F.lit(k))
+    held = _blocks(benchmark, block_bytes)
+    for k, own in enumerate(held):
+        part = docs.mapInArrow(_scanner(own, n), schema).withColumn("block", F.lit(k))
         found = part if found is None else found.unionByName(part)
-    if blocks > 1:
+    if len(held) > 1:
         found = found.groupBy("doc_id", "text_hash", "n_words").agg(
             F.sort_array(F.flatten(F.collect_set("hits"))).alias("hits"), F.sort_array(F.flatten(F.collect_set("words"))).alias("words"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"), F.count_if(F.col("block") == 0).alias("times"),
@@ -126,13 +122,26 @@ def _union(name: str, first: str):
 _BUILT: dict[int, ahocorasick.Automaton | None] = {}
 
 
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
+    """Broadcasts of (id, text), each of about ``block_bytes`` of text at most; the size is measured first."""
+    items = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = -(-total // block_bytes) or 1
+    parts = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) for k in range(blocks)]
+    return [benchmark.sparkSession.sparkContext.broadcast([(r.item, r.text) for r in p.collect()]) for p in parts]
+
+
+def _built(held, n: int) -> ahocorasick.Automaton | None:
+    key = hash((n, *held.value))
+    if key not in _BUILT:  # once for each Python worker
+        _BUILT.clear()
+        _BUILT[key] = automaton(held.value, n)
+    return _BUILT[key]
+
+
 def _scanner(held, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = hash((n, *held.value))
-        if key not in _BUILT:  # once for each Python worker
-            _BUILT.clear()
-            _BUILT[key] = automaton(held.value, n)
-        made = _BUILT[key]
+        made = _built(held, n)
         kinds = [pa.list_(pa.struct([(a, pa.int64()), ("end", pa.int64())])) for a in ("start", "first")]
         for batch in batches:
             n_words, spans, ranges, items = [], [], [], []
@@ -151,7 +160,15 @@ def _scanner(held, n: int):
     return run
 
 
-def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Documents without any hit; all columns stay. The scan carries the rows along by id."""
-    dirty = matches(documents, benchmark).where(F.size("items") > 0).select(F.col("doc_id").alias("__dirty")).distinct()
-    return documents.join(dirty, documents["doc_id"].eqNullSafe(dirty["__dirty"]), "left_anti")
+def clean(documents: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows without any hit, all columns: a filter where the rows lie, one after the other for each block of the benchmark."""
+    ship(documents.sparkSession)
+    out, at = documents, documents.columns.index("text")
+    for held in _blocks(benchmark, block_bytes):
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            made = _built(held, n)
+            for batch in batches:
+                yield batch.filter(pa.array([not scan(made, t.as_py())[1] for t in batch.column(at)], pa.bool_()))
+
+        out = out.mapInArrow(run, documents.schema)
+    return out

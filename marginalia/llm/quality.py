@@ -100,21 +100,35 @@ def repeated_words(found: Column) -> Column:
     return let(hashes, both)
 
 
-def counts(documents: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the counts of every text; null text has no words."""
-    text = filled(F.col("text"))
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_stops")
+
+
+def measures(column: str = "text") -> list[Column]:
+    """The counts of a text as columns; null text has no words."""
+    text = filled(F.col(column))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
     kept = lambda keep: F.length(F.regexp_replace(text, keep, "")).cast("long")
-    measured = only(documents, "doc_id", "lang", "source", "text").select(
-        "doc_id", "lang", "source",
+    return [
         let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words"))).alias("w"),
         kept(r"[^#*$%&|<>]+").alias("n_symbols"),
         let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))).alias("l"),
         kept(r"\P{Lu}+").alias("n_capitals"),
         kept(r"[^.,;:!?]+").alias("n_stops"),
-    )
-    return measured.select("doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_lines", "n_capitals", "n_stops").withColumn(
-        "base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+    ]
+
+
+def _flat(prefix: str = "") -> list[Column]:
+    inner = {"n_words": "w.", "word_chars": "w.", "n_repeat_words": "w.", "n_lines": "l.", "n_dup_lines": "l."}
+    return [F.col(f"{prefix}{inner.get(c, '')}{c}").alias(c) for c in COUNTS]
+
+
+BASE_FAILED = (f"n_words < {MIN_WORDS} or 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words")
+
+
+def counts(documents: DataFrame) -> DataFrame:
+    """doc_id, lang, source and the counts of every text."""
+    measured = only(documents, "doc_id", "lang", "source", "text").select("doc_id", "lang", "source", *measures())
+    return measured.select("doc_id", "lang", "source", *_flat()).withColumn("base_failed", F.expr(BASE_FAILED))
 
 
 def vector(n: str = "n_words", chars: str = "word_chars") -> list[Column]:
@@ -166,8 +180,8 @@ def _distance() -> Column:
     return F.expr(_total([f"{y} * {y}" for y in ys]))
 
 
-def _nearest(df: DataFrame) -> DataFrame:
-    """The rows of each pool up to the bin of d2 in which its ``SUBSET`` quantile lies.
+def _nearest(df: DataFrame, subset: float = SUBSET) -> DataFrame:
+    """The rows of each pool up to the bin of d2 in which its ``subset`` quantile lies.
 
     The quantile is read off counts of 1/64 octaves of d2: at most a few
     thousand bins a pool, whatever its rows.
@@ -177,7 +191,7 @@ def _nearest(df: DataFrame) -> DataFrame:
     cuts = (
         binned.groupBy("pool", "bin").agg(F.count(F.lit(1)).alias("n"))
         .withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("pool")))
-        .where(F.col("upto") >= F.ceil(SUBSET * F.col("all"))).groupBy("pool").agg(F.min("bin").alias("last")))
+        .where(F.col("upto") >= F.ceil(subset * F.col("all"))).groupBy("pool").agg(F.min("bin").alias("last")))
     return binned.join(cuts, "pool").where(F.col("bin") <= F.col("last"))
 
 
@@ -190,41 +204,71 @@ def pools(docs: DataFrame, min_pool: int = MIN_POOL) -> DataFrame:
     return sizes.select("lang", "source", F.coalesce(own, by_lang, F.lit('{"level":2}')).alias("pool"))
 
 
+#: Up to so many pairs of language and source their estimates (20 numbers each) are broadcast; beyond, joined.
+BROADCAST_PAIRS = 10_000
+
+
+def estimates(docs: DataFrame, *, subset: float = SUBSET, steps: int = STEPS, min_pool: int = MIN_POOL) -> DataFrame:
+    """l, s (language, source) and the centre and inverse Cholesky factor of their pool.
+
+    ``docs`` has lang, source, base_failed and x0, x1, ... A pool's estimate
+    starts from its coordinatewise medians and concentrates: centre and
+    covariance of the ``subset`` nearest documents, distances from those, and so
+    on; each step can only lower the determinant. Pools of fewer than
+    ``min_pool`` documents have no estimate.
+    """
+    fine = docs.where(~F.col("base_failed"))
+    named = pools(fine, min_pool).select(F.col("lang").alias("l"), F.col("source").alias("s"), "pool")
+    rated = cut(fine.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).select("pool", *[f"x{i}" for i in range(P)]))
+    floor = [SCALE * s for s in STATISTICS.values()]
+    start = rated.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)])
+    shape = start.select("pool", *[F.col(f"m{i}").cast("double") for i in range(P)],
+                         *[F.lit(1 / floor[i] if i == j else 0.0).alias(f"k{i}{j}") for i, j in _PAIRS])
+    for _ in range(steps):
+        shape = cut(_shape(_nearest(rated.join(shape, "pool").withColumn("d2", _distance()).select("pool", "d2", *[f"x{i}" for i in range(P)]), subset)))
+    enough = rated.groupBy("pool").count().where(F.col("count") >= min_pool).select("pool")
+    shape = cut(named.join(shape.join(enough, "pool", "left_semi"), "pool").drop("pool"))
+    return F.broadcast(shape) if shape.count() <= BROADCAST_PAIRS else shape
+
+
+def _rated(docs: DataFrame, shape: DataFrame, subset: float = SUBSET) -> DataFrame:
+    """With d2, scaled to be chi-square for ordinary documents (consistency factor of the subset); null where the base or the pool has none."""
+    consistent = subset / chi2_cdf(chi2_at(1 - subset, P), P + 2)
+    joined = docs.join(shape, docs["lang"].eqNullSafe(shape["l"]) & docs["source"].eqNullSafe(shape["s"]), "left")
+    return joined.withColumn("d2", F.when(~F.col("base_failed"), _distance() / consistent))
+
+
 def verdicts(documents: DataFrame, *, subset: float = SUBSET, steps: int = STEPS, min_pool: int = MIN_POOL, tail: float = TAIL) -> DataFrame:
     """Counts, base_failed, kept and d2 (robust squared Mahalanobis distance) of every document.
 
-    Statistic vectors are pooled by language and source. A pool's minimum-
-    covariance-determinant estimate starts from its coordinatewise medians and
-    concentrates: centre and covariance of the ``subset`` nearest documents,
-    distances from those, and so on; each step can only lower the determinant.
-    Documents that fail the base rules take no part. d2 is scaled to be chi-
-    square distributed for ordinary documents (consistency factor of the
-    subset), and a document beyond its ``tail`` is rejected. A pool in which
-    not even all small pools together have ``min_pool`` documents rejects none.
+    Statistic vectors are pooled by language and source; documents that fail
+    the base rules take no part. A document beyond the chi-square ``tail`` is
+    rejected. A pool with fewer than ``min_pool`` documents borrows from its
+    language's small pools, then from all small pools; where not even those have
+    ``min_pool`` none is rejected.
 
     Nulls: null text has no words and fails the base rules; null language or
     source are values of their own. Ties in distance stay together. Repeated
     rows are documents of their own; an empty table gives no rows.
     """
     docs = cut(counts(documents).select("*", *vector()))
-    named = pools(docs.where(~F.col("base_failed")), min_pool).select(F.col("lang").alias("l"), F.col("source").alias("s"), "pool")
-    rated = cut(docs.where(~F.col("base_failed")).join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).select("pool", *[f"x{i}" for i in range(P)]))
-    floor = [SCALE * s for s in STATISTICS.values()]
-    start = rated.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)])
-    shape = start.select("pool", *[F.col(f"m{i}").cast("double") for i in range(P)],
-                         *[F.lit(1 / floor[i] if i == j else 0.0).alias(f"k{i}{j}") for i, j in _PAIRS])
-    for _ in range(steps):
-        shape = cut(_shape(_nearest(rated.join(shape, "pool").withColumn("d2", _distance()).select("pool", "d2", *[f"x{i}" for i in range(P)]))))
-    near = chi2_at(1 - subset, P)
-    consistent = subset / chi2_cdf(near, P + 2)
-    shape = named.join(shape, "pool").join(rated.groupBy("pool").count().where(F.col("count") >= min_pool).select("pool"), "pool", "left_semi")
-    out = docs.join(shape, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")), "left").withColumn(
-        "d2", F.when(~F.col("base_failed"), _distance() / consistent))
+    out = _rated(docs, estimates(docs, subset=subset, steps=steps, min_pool=min_pool), subset)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_at(tail, P))).alias("kept"), "lang", "source", "d2")
 
 
-def keep_good(documents: DataFrame) -> DataFrame:
-    """The documents that are kept, all columns; rows that share an id go by whether any of them is rejected."""
-    bad = verdicts(documents).where(~F.col("kept")).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, documents["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+def keep_good(documents: DataFrame, tail: float = TAIL) -> DataFrame:
+    """The rows that are kept, all columns.
+
+    Estimates come from the short vectors; the texts are then measured where
+    they lie and judged against the (broadcast) estimates, so no text is
+    shuffled.
+    """
+    shape = estimates(cut(counts(documents).select("lang", "source", "base_failed", *vector())))
+    own = F.struct(*[documents[c] for c in documents.columns]).alias("__row")
+    measured = documents.select(own, documents["lang"].alias("lang"), documents["source"].alias("source"), documents["text"].alias("text"))
+    measured = measured.select("__row", "lang", "source", F.struct(*measures()).alias("__q"))
+    named = measured.select("__row", "lang", "source", *[c for c in _flat("__q.")]).select("*", F.expr(BASE_FAILED).alias("base_failed"), *vector())
+    # one condition over both sides of the join: parts of it pushed below would measure the text again
+    good = F.when(F.col("base_failed") | F.isnan(F.coalesce("d2", F.lit(0.0))), False).otherwise(F.coalesce("d2", F.lit(0.0)) <= chi2_at(tail, P))
+    return _rated(named, shape).where(good).select("__row.*")

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,9 +33,9 @@ from marginalia.session import cut, shared_dir, ship
 
 DEPTH = 4
 END = 0xFF  # in no UTF-8 text: closes a text, and stands before its first byte
-#: Nodes that one pass of scoring holds in memory (16 bytes each); beyond it documents are read once for each block.
-BLOCK_NODES = 12_000_000
-PIECE = 1 << 21
+#: Nodes that one pass of scoring holds in memory (16 bytes each, and as much again while a level is read); beyond it documents are read once for each block.
+BLOCK_NODES = 6_000_000
+PIECE = 1 << 20
 CHUNK_TOKENS = 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -88,7 +88,7 @@ def gram_counts(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         for batch in batches:
             for _, key in pieces(batch.column(0), depth):
                 parts.append(np.unique(key, return_counts=True))
-                if sum(len(k) for k, _ in parts[1:]) > 2_000_000:
+                if sum(len(k) for k, _ in parts[1:]) > 1_000_000:
                     parts = [merged(parts)]
         if parts:
             keys, counts = merged(parts)
@@ -137,15 +137,14 @@ def tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 class Model:
     """A tree (or the part of it under some last-two-byte contexts) as sorted arrays."""
 
-    def __init__(self, table: pa.Table, depth: int) -> None:
+    def __init__(self, level: Callable[[int], pa.Table], depth: int) -> None:
+        """``level`` reads the nodes of one depth: key, a, b, own. One level at a time is held as read."""
         self.depth, self.keys, self.ones = depth, [], []
-        level, key, a, b, own = (table.column(c).to_numpy() for c in ("depth", "key", "a", "b", "own"))
         before: tuple[np.ndarray, np.ndarray] | None = None
         for d in range(depth + 1):
-            at = np.flatnonzero(level == d)
-            at = at[np.argsort(key[at])]
-            k = key[at]
-            kt, w = (b[at] + 0.5) / (a[at] + b[at] + 1), own[at]
+            table = level(d).sort_by("key")
+            k, a, b, w = (table.column(c).to_numpy() for c in ("key", "a", "b", "own"))
+            kt = (b + 0.5) / (a + b + 1)
             if before is None:
                 so_far, left = np.zeros(len(k)), np.ones(len(k))
             else:
@@ -158,7 +157,7 @@ class Model:
             if d == depth:
                 last = (k & 255) >= 128
                 context, decision = k[last] >> 8 << 8, k[last] & 255
-                both = [context[n[at][last] > 0] | ((decision << 1 | bit) & 255)[n[at][last] > 0] for bit, n in ((0, a), (1, b))]
+                both = [context[n[last] > 0] | ((decision << 1 | bit) & 255)[n[last] > 0] for bit, n in ((0, a), (1, b))]
                 grams = np.concatenate(both)
         self.grams = pd.Index(grams) if len(grams) else None
         self.known = self.bits(grams)
@@ -202,9 +201,8 @@ def _load(folder: str, block: int, blocks: int, depth: int) -> Model:
         _MODELS.clear()
         where, base = fs.FileSystem.from_uri(folder)
         found = ds.dataset(base, filesystem=where, format="parquet")
-        if blocks > 1:
-            found = found.filter(pc.field("block").isin([-1, block]))
-        _MODELS[key] = Model(found.to_table(columns=["depth", "key", "a", "b", "own"]), depth)
+        own = pc.field("block").isin([-1, block])
+        _MODELS[key] = Model(lambda d: found.to_table(columns=["key", "a", "b", "own"], filter=own & (pc.field("depth") == d), batch_size=1 << 16), depth)
     return _MODELS[key]
 
 
@@ -260,18 +258,16 @@ def code_lengths(documents: DataFrame, model: DataFrame, depth: int = DEPTH, blo
 PARTS = "bucket int, chunk string, hashes binary, counts binary, docs binary, text_hashes binary, lengths binary, trains binary, ids binary"
 
 
-def _chunk(rows: list[tuple], name: str, bits: int) -> Iterator[dict]:
+def _chunk(rows: list[tuple], vocabulary: dict[bytes, int], name: str, bits: int) -> Iterator[dict]:
     """A chunk's distinct words by hash bucket, and which of them each of its documents has."""
-    vocabulary: dict[bytes, int] = {}
-    seen = [np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int64, len(found)) for _, _, _, found in rows]
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
     order = np.argsort(hashes)
-    rank = np.empty(len(order), np.int64)
+    rank = np.empty(len(order), np.int32)
     rank[order] = np.arange(len(order))
     hashes = hashes[order]
-    ids = [rank[s] for s in seen]
+    ids = [rank[seen] for *_, seen in rows]
     trained = [i for i, (_, _, t, _) in zip(ids, rows, strict=True) if t]
-    counts = np.bincount(np.concatenate(trained) if trained else np.empty(0, np.int64), minlength=len(hashes)).astype(np.uint32)
+    counts = np.bincount(np.concatenate(trained) if trained else np.empty(0, np.int32), minlength=len(hashes)).astype(np.uint32)
     bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
     for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
@@ -301,20 +297,21 @@ def unigram(documents: DataFrame, train: str = "train") -> DataFrame:
     bits = min(16, math.ceil(math.log2(1 + docs.count() / 8192)))  # about one bucket a chunk
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, tokens, k = [], 0, 0
+        rows, vocabulary, tokens, k = [], {}, 0, 0
         schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), *[(c.split()[0], pa.binary()) for c in PARTS.split(", ")[2:]]])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_pylist(list(_chunk(rows, f"{TaskContext.get().partitionId()}.{k}", bits)), schema=schema)
+            yield pa.RecordBatch.from_pylist(list(_chunk(rows, vocabulary, f"{TaskContext.get().partitionId()}.{k}", bits)), schema=schema)
 
         for batch in batches:
             for d, h, t, text in zip(*batch.columns, strict=True):
                 found = (text.as_py() or "").encode().lower().split()
-                rows.append((d.as_py(), h.as_py(), t.as_py(), found))
+                seen = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int32, len(found))
+                rows.append((d.as_py(), h.as_py(), t.as_py(), seen))
                 tokens += len(found)
                 if tokens >= CHUNK_TOKENS:
                     yield from flush()
-                    rows, tokens, k = [], 0, k + 1
+                    rows, vocabulary, tokens, k = [], {}, 0, k + 1
         if rows:
             yield from flush()
 

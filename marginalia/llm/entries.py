@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marginalia.llm import ctw, decontam, mixing, pii, quality, secrets, sharding, simhash, tokencount, toxicity
+from marginalia.llm import ctw, decontam, mixing, oracles, pii, quality, secrets, sharding, simhash, tokencount, toxicity
 from marginalia.session import table
 
 
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": oracles.quality_sql(), "op2_decontamination": oracles.DECONTAMINATION, "op6_mixing": oracles.MIXING, "op8_sharding": oracles.SHARDING}

@@ -3,8 +3,9 @@
 Spans that look disguised (leetspeak, letters spaced out, letters repeated) are
 lattices: every character may stand for itself, for the letters it imitates, or
 for nothing. A Viterbi search finds the likeliest plain reading under a
-character trigram model. Words of the plain text and of the readings are then
-scored by a logistic model over a lexicon, both learnt from labelled rows.
+character trigram model. The plain text and the readings are then scored by a
+logistic model over a lexicon of words and beginnings of words (languages that
+compound have no fixed word list), both learnt from labelled rows.
 """
 
 from __future__ import annotations
@@ -26,9 +27,10 @@ from marginalia.session import ship
 
 THRESHOLD = 0.7
 #: Most labelled documents that the classifier is fitted on, taken by hash of the id.
-MAX_LABELLED = 20_000
-#: Most words in the lexicon.
+MAX_LABELLED = 12_000
+#: Most entries of the lexicon; an entry is a word, or a beginning of so many letters (marked by a hyphen).
 MAX_LEXICON = 256
+HEADS = (5, 6, 7)
 MIN_TOXIC_DOCS = 3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SYMBOLS = "".join(map(re.escape, (c for c in LEET if not c.isdigit())))
@@ -122,15 +124,22 @@ class Model:
     weights: np.ndarray
     channel: Channel
 
-    def hits(self, text: str | None, trie: ahocorasick.Automaton, cache: dict[str, str]) -> tuple[dict[int, int], int, list[tuple[int, int, str]]]:
-        """Lexicon words found (number: times), words in the text, disguised spans with their readings."""
+    def entries_of(self, word: str, index: dict[str, int]) -> list[int]:
+        return [index[x] for x in (word, *(word[:n] + "-" for n in HEADS if len(word) > n)) if x in index]
+
+    def hits(self, text: str | None, trie: ahocorasick.Automaton | None, cache: dict[str, str]) -> tuple[dict[int, int], int, list[tuple[int, int, str]]]:
+        """Lexicon entries found (number: times), words in the text, disguised spans with their readings."""
         low = (text or "").translate(_LOWER)
         found: dict[int, int] = {}
+        n = len(low)
         if trie:
-            for end, (k, length) in trie.iter(low):
-                start = end - length + 1
-                if not (start and low[start - 1].isalpha()) and not (end + 1 < len(low) and low[end + 1].isalpha()):
-                    found[k] = found.get(k, 0) + 1
+            for end, spelt in trie.iter(low):
+                start = end - spelt[0][1] + 1
+                if start == 0 or not low[start - 1].isalpha():
+                    goes_on = end + 1 < n and low[end + 1].isalpha()
+                    for k, _, whole in spelt:
+                        if whole != goes_on:
+                            found[k] = found.get(k, 0) + 1
         index = cache.setdefault("", {w: k for k, w in enumerate(self.lexicon)})  # type: ignore[arg-type]
         spans = []
         for m in DISGUISED.finditer(low):
@@ -142,16 +151,18 @@ class Model:
                     cache.clear()
                     cache[""] = index
                 cache[span] = read = self.channel.restore(span)
-            if read in index:
-                found[index[read]] = found.get(index[read], 0) + 1
+            if own := self.entries_of(read, index):
+                for k in own:
+                    found[k] = found.get(k, 0) + 1
                 spans.append((m.start(), m.end(), read))
         return found, len(low.split()), spans
 
     def vector(self, found: dict[int, int], words: int) -> np.ndarray:
         x = np.zeros(len(self.lexicon) + 4)
-        for k in found:
-            x[k] = 1
-        x[-4], x[-3], x[-2], x[-1] = len(found), math.log1p(sum(found.values())), math.log1p(100 * sum(found.values()) / (words + 1)), 1
+        for k, n in found.items():
+            x[k] = math.log1p(n)
+        total = sum(found.values())
+        x[-4], x[-3], x[-2], x[-1] = len(found), math.log1p(total), math.log1p(100 * total / (words + 1)), 1
         return x
 
     def score(self, found: dict[int, int], words: int) -> float:
@@ -166,7 +177,8 @@ def trie_of(lexicon: list[str]) -> ahocorasick.Automaton | None:
         return None
     made = ahocorasick.Automaton()
     for k, w in enumerate(lexicon):
-        made.add_word(w, (k, len(w)))
+        head = w.removesuffix("-")
+        made.add_word(head, (*made.get(head, ()), (k, len(head), head == w)))  # a word and a beginning may be spelt alike
     made.make_automaton()
     return made
 
@@ -194,22 +206,26 @@ def fit(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held: int
     marked = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
     docs = only(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_labelled rows
-    low = F.translate(filled(F.col("text")), ASCII_UPPER, ASCII_LOWER)
-    words = F.array_distinct(F.expr("regexp_extract_all(low, '(?<![\\\\p{L}])[a-z]{3,24}(?![\\\\p{L}])', 0)"))
-    sided = docs.withColumn("low", low).select("toxic", F.explode(words).alias("word"))
+    words = F.expr(f"regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '(?<![\\\\p{{L}}])[\\\\p{{L}}]{{3,32}}+(?![\\\\p{{L}}])', 0)")
+    each = docs.select("toxic", "doc_id", F.explode(words).alias("w")).groupBy("toxic", "doc_id", "w").agg(F.count(F.lit(1)).alias("c"))
+    heads = ", ".join(f"if(length(w) > {n}, concat(left(w, {n}), '-'), null)" for n in HEADS)
+    each = each.select("toxic", "doc_id", "c", F.explode(F.expr(f"array_compact(array(w, {heads}))")).alias("entry"))
+    counted = each.groupBy("toxic", "doc_id", "entry").agg(F.log1p(F.sum("c")).alias("x"))
     n = {bool(r.toxic): r.n for r in docs.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     toxic, clean = n.get(True, 0), n.get(False, 0)
     lexicon: list[str] = []
     if toxic and clean:
-        by = sided.groupBy("word").agg(F.sum("toxic").alias("t"), F.count(F.lit(1)).alias("n")).where(F.col("t") >= MIN_TOXIC_DOCS)
-        share = F.col("t") / toxic - (F.col("n") - F.col("t")) / clean
-        spread = F.sqrt(F.col("n") / (toxic + clean) * (1 - F.col("n") / (toxic + clean)) * (1 / toxic + 1 / clean) + 1e-12)
-        lexicon = sorted(r.word for r in by.where((share > 0.02) & (share / spread > 5) & (F.col("t") / toxic > 5 * (F.col("n") - F.col("t")) / clean))
-                         .orderBy(F.desc(share / spread), "word").limit(max_lexicon).collect())
+        side = lambda mark, x: F.sum(F.when(F.col("toxic") == mark, x).otherwise(0.0))
+        by = counted.groupBy("entry").agg(
+            F.count_if(F.col("toxic") == 1).alias("docs"), side(1, F.col("x")).alias("t1"), side(1, F.col("x") ** 2).alias("t2"), side(0, F.col("x")).alias("c1"), side(0, F.col("x") ** 2).alias("c2"))
+        t, c = F.col("t1") / toxic, F.col("c1") / clean
+        spread = F.sqrt((F.col("t2") / toxic - t * t) / toxic + (F.col("c2") / clean - c * c) / clean + 1e-12)
+        lexicon = sorted(r.entry for r in by.where((F.col("docs") >= MIN_TOXIC_DOCS) & (t > 0.01) & (t > 5 * c) & ((t - c) / spread > 3.5))
+                         .orderBy(F.desc((t - c) / spread), "entry").limit(max_lexicon).collect())
     corpus = np.zeros(STATES**3)
     for r in letter_counts(documents).collect():  # at most 27 ** 3 rows
         corpus[r.code] = r.n
-    made = Model(lexicon, np.zeros(len(lexicon) + 4), Channel(character_model(corpus, lexicon)))
+    made = Model(lexicon, np.zeros(len(lexicon) + 4), Channel(character_model(corpus, [w for w in lexicon if w.isascii() and not w.endswith("-")])))
     base = math.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -10.0
     made.weights[-1] = base
     if lexicon:

@@ -55,7 +55,7 @@ def load(path: str | Path) -> Config:
 TEMPLATE = {
     "vault_path": "$CWD", "qdrant_path": "$CWD/data/vectors", "fts_path": "$CWD/data/keywords", "sync_state_path": "$CWD/data/state", "collection_name": "chunks",
     "ollama_url": Config.embedder_url, "embedding_model": Config.embedding_model, "chunk_size": 500, "chunk_overlap": 80, "watch_enabled": True,
-    "exclude_globs": [".obsidian/**", ".git/**", "Templates/**"], "max_context_chunks": 8, "redact_patterns": [],
+    "exclude_globs": [".git/**", "Templates/**"], "max_context_chunks": 8, "redact_patterns": [],
 }
 
 

@@ -183,12 +183,16 @@ def corpus_stats(spark, sf_dir):
     return keyword.corpus_stats(keyword.doc_lengths(table(spark, sf_dir, "documents"), "doc_id")).withColumn("avgdl", F.round("avgdl", 6))
 
 
-def _bm25_sql(counts: list[str], holds: str, scored: list[int], tokens: str = TOKENS, key: str = "doc_id") -> str:
-    """SQL of the ranking: how to count each phrase in the tokens t, and the condition on f0, f1, ..."""
+def _bm25_sql(counts: list[str], holds: str, scored: list[int], tokens: str = TOKENS, key: str = "doc_id", within: dict[int, int] | None = None) -> str:
+    """SQL of the ranking: how to count each phrase in the tokens t, and the condition on f0, f1, ...
+
+    ``within`` names the count that a phrase has in a row where that isn't all of its occurrences.
+    """
+    f_of = lambda k: f"f{(within or {}).get(k, k)}"
     f = ", ".join(f"{c} AS f{k}" for k, c in enumerate(counts))
     n = ", ".join(f"count(*) FILTER (WHERE f{k} > 0) AS n{k}" for k in range(len(counts)))
     idf = lambda k: f"greatest(ln((N - n{k} + 0.5) / (n{k} + 0.5)), CASE WHEN ln((N - n{k} + 0.5) / (n{k} + 0.5)) <= 0 THEN 1e-6 ELSE 0 END)"
-    total = " + ".join(f"{idf(k)} * f{k} * 2.2 / (f{k} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in scored)
+    total = " + ".join(f"{idf(k)} * {f_of(k)} * 2.2 / ({f_of(k)} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for k in scored)
     return f"""WITH {tokens}, f AS (SELECT {key}, len(t) AS dl, {f} FROM tok), s AS (SELECT count(*) AS N, avg(dl) AS avgdl, {n} FROM f)
         SELECT {key}, round({total}, 6) AS score FROM f, s WHERE {holds} ORDER BY score DESC, {key} LIMIT 20"""
 
@@ -229,10 +233,11 @@ def keyword_bm25_first(spark, sf_dir):
     return _ranked(spark, sf_dir, "^the")
 
 
-_near = """len(list_filter(range(1, len(t) + 1), lambda i: t[i] = 'er' AND len(list_filter(range(greatest(1, i - 4), least(len(t), i + 4) + 1), lambda j: t[j] = 'ha')) > 0)) > 0"""
+def _beside(a: str, b: str) -> str:
+    return f"len(list_filter(range(1, len(t) + 1), lambda i: t[i] = '{a}' AND len(list_filter(range(greatest(1, i - 4), least(len(t), i + 4) + 1), lambda j: t[j] = '{b}')) > 0))"
 
 
-@query("keyword_bm25_near", _bm25_sql([_term("er"), _term("ha"), f"CAST({_near} AS INT)"], "f2 > 0", [0, 1]))
+@query("keyword_bm25_near", _bm25_sql([_term("er"), _term("ha"), _beside("er", "ha"), _beside("ha", "er")], "f2 > 0", [0, 1], within={0: 2, 1: 3}))
 def keyword_bm25_near(spark, sf_dir):
     return _ranked(spark, sf_dir, "NEAR(er ha, 3)")
 

@@ -144,7 +144,7 @@ def test_init(tmp_path, monkeypatch, capsys):
         cli.main(["--config", "rag.toml", "init"])
     cli.main(["--config", "rag.toml", "init", "--force"])
     assert json.loads(capsys.readouterr().out)["overwritten"]
-    assert config.load("rag.toml").exclude_globs == [".obsidian/**", ".git/**", "Templates/**"] and config.load("rag.toml").vault_path == tmp_path
+    assert config.load("rag.toml").exclude_globs == [".git/**", "Templates/**"] and config.load("rag.toml").vault_path == tmp_path
 
 
 class Fake:

@@ -387,6 +387,28 @@ def answer_draft(spark, sf_dir):
     return fusion.answer_draft(_cited(spark, sf_dir))
 
 
+@query("debug_scores", f"WITH {_lanes_sql(20)}, top AS (SELECT score, row_number() OVER (ORDER BY score DESC, first_seen) AS rank FROM fused) SELECT string_agg(printf('%.9f', score), ',' ORDER BY rank) AS debug_scores FROM top WHERE rank <= 8")
+def debug_scores(spark, sf_dir):
+    """Scores in order of rank, as one list."""
+    best = fusion.best(_fused(spark, sf_dir, 20), 8).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "first_seen")))
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.format_string("%.9f", "score").alias("s"))))
+    return best.agg(F.array_join(F.transform(listed, lambda x: x["s"]), ",").alias("debug_scores"))
+
+
+@query("payload_hits", """SELECT CAST(vec_id AS VARCHAR) AS chunk_id, CAST(label AS DOUBLE) AS score, 'semantic' AS source, CASE WHEN label % 3 = 1 THEN 'text ' || label ELSE '' END AS text,
+    CASE WHEN label % 3 = 2 THEN '{"path":"p' || label || '"}' ELSE '{}' END AS metadata FROM embeddings""")
+def payload_hits(spark, sf_dir):
+    """Stored points to hits: null payloads, and payloads without text or metadata."""
+    payload = F.expr("""case label % 3 when 1 then concat('{"text":"text ', label, '"}') when 2 then concat('{"metadata":{"path":"p', label, '"}}') end""")
+    return vector.hits(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("score"), payload.alias("payload")))
+
+
+@query("metadata_json", f"""WITH {CHUNKS} SELECT seq, '{{"heading_path":"' || heading_path || '","note_title":"doc_' || doc_id || '","path":"' || path || '","tags":["' || array_to_string(list_sort([lang, source]), '","') || '"]}}' AS metadata FROM chunks""")
+def metadata_json(spark, sf_dir):
+    """Metadata as JSON with its keys in order."""
+    return chunks(spark, sf_dir).select("seq", F.to_json(F.struct("heading_path", "note_title", "path", "tags")).alias("metadata"))
+
+
 # ------------------------------------------------------------------ notes and their links
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,6 +30,17 @@ def shared_dir(spark: SparkSession) -> str:
     return current.get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder's URI in the shared folder, for files that are written and read by name."""
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}"
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from the written copy.
 

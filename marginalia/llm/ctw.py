@@ -14,7 +14,6 @@ of all depths are sums of those, and weights run up the tree level by level.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import fold, only
-from marginalia.session import cut, shared_dir, ship
+from marginalia.session import cut, remove, scratch, ship
 
 DEPTH = 4
 END = 0xFF  # in no UTF-8 text: closes a text, and stands before its first byte
@@ -206,19 +205,17 @@ def _load(folder: str, block: int, blocks: int, depth: int) -> Model:
     return _MODELS[key]
 
 
-def code_lengths(documents: DataFrame, model: DataFrame, depth: int = DEPTH, block_nodes: int = BLOCK_NODES) -> DataFrame:
+def code_lengths(documents: DataFrame, model: DataFrame, folder: str, depth: int = DEPTH, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, text_hash, score (log10 probability of text and end, lower-cased A-Z), n_bytes.
 
-    The tree is written to the shared folder and read from there by the
-    workers; its size is counted, and a larger one is cut by the last two bytes
+    The tree is written to ``folder`` (a URI that all can read) and read from
+    there by the workers; its size is counted, and a larger one is cut by the last two bytes
     of the context (all longer contexts of a byte then lie in one block), each
     block scoring the bytes that are its own. A block of one context has at
     most 65,536 x 255 nodes at depth four, whatever the corpus.
     """
     spark = documents.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark).rstrip('/')}/ctw-{uuid.uuid4().hex}"
-    folder = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
     blocks = max(1, -(-model.count() // block_nodes))
     last_two = F.expr("shiftright(key, 8) & 65535")
     model.withColumn("block", F.when(F.col("depth") < 2, F.lit(-1)).otherwise(F.pmod(F.xxhash64(last_two), F.lit(blocks)).cast("int"))).write.parquet(folder)
@@ -280,7 +277,7 @@ def _chunk(rows: list[tuple], vocabulary: dict[bytes, int], name: str, bits: int
     }
 
 
-def unigram(documents: DataFrame, train: str = "train") -> DataFrame:
+def unigram(documents: DataFrame, folder: str, train: str = "train") -> DataFrame:
     """doc_id (as string), text_hash, n_tokens, n_known, train_tokens, base_score, train of every distinct row.
 
     Words are counted by chunks of about two million tokens: a chunk sends each
@@ -292,7 +289,6 @@ def unigram(documents: DataFrame, train: str = "train") -> DataFrame:
     """
     spark = documents.sparkSession
     ship(spark)
-    folder = f"{shared_dir(spark).rstrip('/')}/unigram-{uuid.uuid4().hex}"
     docs = only(documents, "doc_id", "text", train).select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(train).cast("int").alias("train"), "text")
     bits = min(16, math.ceil(math.log2(1 + docs.count() / 8192)))  # about one bucket a chunk
 
@@ -364,11 +360,16 @@ def lm_scores(documents: DataFrame, *, modulus: int = 7, held: int = 2, depth: i
     are learnt from and scored each. Without training documents every bit costs
     one bit. An empty table gives no rows.
     """
+    spark = documents.sparkSession
+    folder = scratch(spark, "lm")
     docs = only(documents, "doc_id", "text").withColumn("train", fold(F.col("doc_id"), modulus) != held)
     model = tree(cut(gram_counts(docs.where("train"), depth)), depth)
-    base = unigram(docs)
-    coded = code_lengths(documents, model, depth, block_nodes)
+    base = unigram(docs, f"{folder}/unigram")
+    coded = code_lengths(documents, model, f"{folder}/tree", depth, block_nodes)
     base = base.select(F.col("doc_id").alias("base_id"), F.col("text_hash").alias("base_hash"), "n_tokens", "n_known", "train_tokens", "base_score", "train")
-    return coded.join(base, F.col("doc_id").cast("string").eqNullSafe(F.col("base_id")) & (F.col("text_hash") == F.col("base_hash"))).select(
-        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes",
-        (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte"))
+    try:
+        return cut(coded.join(base, F.col("doc_id").cast("string").eqNullSafe(F.col("base_id")) & (F.col("text_hash") == F.col("base_hash"))).select(
+            "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes",
+            (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte")))
+    finally:
+        remove(spark, folder)

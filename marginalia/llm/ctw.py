@@ -35,7 +35,7 @@ END = 0xFF  # in no UTF-8 text: closes a text, and stands before its first byte
 #: Nodes that one pass of scoring holds in memory (16 bytes each, and as much again while a level is read); beyond it documents are read once for each block.
 BLOCK_NODES = 6_000_000
 PIECE = 1 << 20
-CHUNK_TOKENS = 1 << 21
+CHUNK_TOKENS = 1 << 20
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -280,7 +280,7 @@ def _chunk(rows: list[tuple], vocabulary: dict[bytes, int], name: str, bits: int
 def unigram(documents: DataFrame, folder: str, train: str = "train") -> DataFrame:
     """doc_id (as string), text_hash, n_tokens, n_known, train_tokens, base_score, train of every distinct row.
 
-    Words are counted by chunks of about two million tokens: a chunk sends each
+    Words are counted by chunks of about a million tokens: a chunk sends each
     distinct word's hash and training count once, packed by hash bucket; a
     bucket adds up over chunks and sends the totals back; a chunk then sums
     logarithms for its documents from totals and word numbers it kept. So a

@@ -19,8 +19,8 @@ from marginalia.llm.common import filled, only
 from marginalia.llm.spans import before, flag, spans
 from marginalia.llm.trees import Forest, forest
 
-#: A run of key characters with a digit in it, of 16 to 256; or a private key's header.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.=-])(?=[A-Za-z+/_.-]{0,255}[0-9])[A-Za-z0-9+/_.-]{16,256}+={0,2}(?![A-Za-z0-9+/_=-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: A run of key characters with a digit in it, of 16 to 256, also right after NAME=; or a private key's header.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,255}[0-9])[A-Za-z0-9+/_.-]{16,256}+={0,2}(?![A-Za-z0-9+/_=-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
 THRESHOLD = 0.5
 DICTIONARY = (
     "account address admin application author backup build cache change client cloud code commit common config connect content context control copy core create data database "

@@ -28,6 +28,17 @@ def test_findings(spark):
     assert sum(r.doc_id == 1 for r in got) == 2
 
 
+def test_assigned_without_a_space(spark):
+    lines = [f"api_key={KEY}", f"export ACCESS_KEY={KEY}", f"AWS_SECRET_ACCESS_KEY_2={KEY} x", f"see https://host.net/a?token={KEY}&b=1", f"a=1;secret={KEY}=="]
+    got = secrets.scan(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start) for r in got) == [(i, x.index(KEY)) for i, x in enumerate(lines)]
+    assert [r.length for r in sorted(got)] == [40, 40, 40, 40, 42]
+    labelled = [x for x, mark in secrets.labelled_findings(800, seed=5) if "api_key=" in x or "ACCESS_KEY=" in x]
+    with_digit = [x for x in labelled if any(c.isdigit() for c in x)]
+    frame = spark.createDataFrame([(x,) for x in with_digit], "text string")
+    assert len(with_digit) > 60 and frame.where(F.expr(f"size({spans('text', secrets.CANDIDATE, 'secret')}) = 1")).count() == len(with_digit)
+
+
 def test_edges(documents, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(documents).count() == 0

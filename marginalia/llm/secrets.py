@@ -19,8 +19,10 @@ from marginalia.llm.common import filled, only
 from marginalia.llm.spans import before, flag, spans
 from marginalia.llm.trees import Forest, forest
 
-#: A run of key characters with a digit in it, of 16 to 256, also right after NAME=; or a private key's header.
-CANDIDATE = r"(?<![A-Za-z0-9+/_.-])(?=[A-Za-z+/_.-]{0,255}[0-9])[A-Za-z0-9+/_.-]{16,256}+={0,2}(?![A-Za-z0-9+/_=-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: A run of 16 or more key characters, also right after NAME= (a name before = is none); or a private key's header.
+CANDIDATE = r"(?<![A-Za-z0-9+/_.-])[A-Za-z0-9+/_.-]{16,}+(?:(?<!-----BEGIN)|(?! [A-Z ]{0,20}PRIVATE KEY-----))={0,2}(?![A-Za-z0-9+/_=-])|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----"
+#: Without this there is no candidate.
+NEEDED = "rlike(text, '[A-Za-z0-9+/_.-]{16}|-----BEGIN')"
 THRESHOLD = 0.5
 DICTIONARY = (
     "account address admin application author backup build cache change client cloud code commit common config connect content context control copy core create data database "
@@ -67,7 +69,8 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
         return r.choice([
             lambda: of(hexa, r.choice([32, 40, 64])), lambda: of(alnum, r.randint(20, 64)), lambda: "AKIA" + of(alnum[:26] + "0123456789", 16), lambda: "ghp_" + of(alnum, 36),
             lambda: "sk_live_" + of(alnum, 24), lambda: f"xoxb-{of('0123456789', 12)}-{of(alnum, 24)}", lambda: base64.b64encode(of(alnum, r.randint(18, 45)).encode()).decode(),
-            lambda: f"eyJhbGciOiJIUzI1NiJ9.{of(alnum, 40)}.{of(alnum + '_-', 43)}", lambda: of(alnum + "+/", 40), lambda: of(small, 32)])()
+            lambda: f"eyJhbGciOiJIUzI1NiJ9.{of(alnum, 40)}.{of(alnum + '_-', 43)}", lambda: of(alnum + "+/", 40), lambda: of(small, 32),
+            lambda: of(alnum[:52], r.randint(20, 64)), lambda: f"eyJhbGciOiJSUzI1NiJ9.{of(alnum + '_-', r.randint(200, 900))}.{of(alnum + '_-', 342)}", lambda: of(alnum + "+/", r.randint(257, 1200))])()
 
     def other() -> str:
         word = lambda: r.choice(DICTIONARY)
@@ -75,10 +78,12 @@ def labelled_findings(n: int = 3000, seed: int = 11) -> list[tuple[str, int]]:
             lambda: of(hexa, r.choice([32, 40, 64])), lambda: str(uuid.UUID(int=r.getrandbits(128))), lambda: "/".join(word() for _ in range(r.randint(3, 6))) + f"/{word()}{r.randint(1, 99)}.txt",
             lambda: "-".join(word() for _ in range(r.randint(3, 6))) + f"-{r.randint(1, 2030)}", lambda: "_".join(word() for _ in range(3)) + str(r.randint(1, 99)), lambda: of("0123456789", r.randint(16, 24)),
             lambda: f"2026-{r.randint(1, 12):02d}-{r.randint(1, 28):02d}T{r.randint(0, 23):02d}", lambda: f"{word()}.{word()}.{word()}.v{r.randint(1, 9)}.{r.randint(0, 99)}",
+            lambda: "/".join(word() for _ in range(r.randint(3, 60))), lambda: r.choice("-_.").join(word() for _ in range(r.randint(3, 8))), lambda: "".join(word() for _ in range(r.randint(3, 5))),
+            lambda: "".join(w.capitalize() for w in (word(), word(), word())), lambda: r.choice("-_./") * r.randint(16, 90), lambda: of(alnum, r.randint(1, 4)) * r.randint(70, 200), lambda: of(alnum + "+/", r.randint(257, 1200)),
             lambda: f"your_{word()}_token_1234", lambda: "x" * r.randint(12, 24) + "1234", lambda: "".join(w.capitalize() for w in (word(), word(), word(), word())) + str(r.randint(1, 9))])()
 
-    good = ['token = "{}"', "api_key={}", "password: {}", 'secret_key = "{}"', "Authorization: Bearer {}", "export ACCESS_KEY={}", "client_secret: '{}'", "aws_secret_access_key = {}", "auth token {} was used", 'token = "{}" and so on']
-    bad = ["sha256:{}", "commit {}", "md5 digest {}", "etag: {}", "see https://host.net/{}", "request id {}", "build {}", "the file {}", "checksum {}", "order {} shipped", "image blob {}", "{}", "revision {} of it", 'path = "{}"']
+    good = ['token = "{}"', "api_key={}", "password: {}", 'secret_key = "{}"', "Authorization: Bearer {}", "export ACCESS_KEY={}", "client_secret: '{}'", "aws_secret_key = {}", "auth token {} was used", 'token = "{}" and so on']
+    bad = ["sha256:{}", "commit {}", "md5 digest {}", "etag: {}", "see https://host.net/{}", "request id {}", "build {}", "the file {}", "checksum {}", "order {} shipped", "image blob {}", "{}", "revision {} of it", 'path = "{}"', '{} = "none"']
     out = []
     for _ in range(n):
         if r.random() < 0.5:
@@ -115,7 +120,7 @@ def scan(documents: DataFrame, *, findings: list[tuple[str, int]] | None = None,
     made = features("c")
     inner = ", ".join(f"'{n}', {sql}" for n, sql in made.items())
     docs = only(documents, "doc_id", "text").select("doc_id", filled(F.col("text")).alias("text"))
-    found = docs.select("doc_id", "text", F.expr(spans("text", CANDIDATE, "secret", "rlike(text, '[0-9]|-----BEGIN')")).alias("found")).where("size(found) > 0")
+    found = docs.select("doc_id", "text", F.expr(spans("text", CANDIDATE, "secret", NEEDED)).alias("found")).where("size(found) > 0")
     rows = found.select("doc_id", F.expr(f"explode(transform(found, c -> named_struct('start', c.start, 'end', c.end, 'value', c.value, 'f', named_struct({inner})))) as c"))
     return rows.select(
         "doc_id", F.col("c.start").alias("start"), F.col("c.end").alias("end"), F.sha2(F.col("c.value"), 256).alias("value_sha256"), F.length("c.value").cast("long").alias("length"),

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import string
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -39,6 +41,25 @@ def test_assigned_without_a_space(spark):
     assert len(with_digit) > 60 and frame.where(F.expr(f"size({spans('text', secrets.CANDIDATE, 'secret')}) = 1")).count() == len(with_digit)
 
 
+def test_runs_of_any_length_and_without_digits(spark):
+    r = random.Random(2)
+    key = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    letters = string.ascii_letters
+    values = ["eyJhbGciOiJSUzI1NiJ9." + key(letters + string.digits, 400) + "." + key(letters + string.digits, 342), key(letters + string.digits + "+/", 5000) + "==", key(letters, 40), key(letters, 300) + "7"]
+    rows = [(i, f'token = "{v}"') for i, v in enumerate(values)]
+    rows += [(10, f"----------------BEGIN PRIVATE KEY-----\n{'-' * 40}"), (11, "aws_secret_access_key = none"), (12, "short words only, none/of/them/at/16")]
+    got = sorted(secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert [(x.doc_id, x.length, x.secret) for x in got if x.doc_id < 10] == [(i, len(v), True) for i, v in enumerate(values)]
+    assert [(x.doc_id, x.length, x.secret) for x in got if x.doc_id > 10] == [(11, 21, False), (12, 18, False)]
+    assert [x.length for x in got if x.doc_id == 10] == [27, 40]
+
+
+def test_every_labelled_key_is_one_candidate(spark):
+    lines = [x for x, mark in secrets.labelled_findings(800, seed=5) if mark]
+    frame = spark.createDataFrame([(x,) for x in lines], "text string")
+    assert frame.where(F.expr(f"size({spans('text', secrets.CANDIDATE, 'secret')}) = 1")).count() == len(lines)
+
+
 def test_edges(documents, empty):
     assert secrets.scan(empty).count() == 0
     assert secrets.scan(documents).count() == 0

@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from marginalia.llm.common import only
 from marginalia.session import cut, ship
@@ -144,28 +145,51 @@ def near_duplicates(documents: DataFrame, *, hot: int = HOT) -> DataFrame:
     any other. A null id is never the smallest unless all are null. Rows that
     repeat stay repeated; an empty table gives no rows.
     """
+    return _grouped(documents, hot).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _grouped(documents: DataFrame, hot: int = HOT) -> DataFrame:
+    """doc_id, fp, root (a fingerprint that names the component), component_id, one row a document."""
     docs = cut(fingerprints(documents))
     first = cut(docs.groupBy("fp").agg(F.min("doc_id").alias("first")))
     plan = WIDE if first.count() >= WIDE_FROM else NARROW
     roots = cut(components(links(first.select("fp"), plan, hot=hot)))
     least = first.join(roots, first["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"))
-    named = roots.join(least, "root").select(F.col("node").alias("fp"), "least")
-    ids = first.join(named, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return docs.join(ids, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
+    ids = first.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
+    return docs.join(ids, "fp").select("doc_id", "fp", "root", "component_id")
+
+
+def _beside(documents: DataFrame) -> DataFrame:
+    """All columns, and the fingerprint as __fp."""
+    ship(documents.sparkSession)
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.fromiter((fingerprint(t.as_py()) for t in batch.column(at)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bits.view(np.int64))], names=[*batch.schema.names, "__fp"])
+
+    return documents.mapInArrow(run, StructType([*documents.schema.fields, StructField("__fp", LongType())]))
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
-    """Of every component the row with the smallest id (of rows with one id, one); all columns stay.
+    """Of every component one row: of those with the smallest id (null only if all are), one with the least fingerprint; all columns stay.
 
-    What goes is named by id and taken out by an anti-join; only rows whose id
-    repeats are compared as wholes.
+    What goes is named by id and taken out by an anti-join. An id that several
+    rows have, null included, doesn't say which is meant: those rows are told
+    apart by their fingerprint as well.
     """
-    found = cut(near_duplicates(documents).select("doc_id", "component_id"))
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__gone")).distinct()
+    found = cut(_grouped(documents).select("doc_id", "fp", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("b"))
+    stays = cut(best.select(F.col("b.doc_id").alias("__id"), F.col("b.fp").alias("__of")))
+    again = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone")))
+    gone = found.join(stays, found["doc_id"].eqNullSafe(stays["__id"]) & (found["fp"] == stays["__of"]), "left_anti").select(F.col("doc_id").alias("__gone"))
+    gone = gone.unionByName(again).distinct()
     left = documents.join(gone, documents["doc_id"].eqNullSafe(gone["__gone"]), "left_anti")
-    again = cut(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again")))
     if again.isEmpty():
         return left
-    repeated = left["doc_id"].eqNullSafe(again["__again"])
-    return left.join(again, repeated, "left_anti").unionByName(left.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    repeated = _beside(documents.join(again, documents["doc_id"].eqNullSafe(again["__gone"]), "left_semi"))
+    one = repeated.join(stays, repeated["doc_id"].eqNullSafe(stays["__id"]) & (repeated["__fp"] == stays["__of"]), "left_semi").dropDuplicates(["doc_id", "__fp"])
+    return left.unionByName(one.drop("__fp"))

@@ -79,3 +79,13 @@ def test_empty_and_keep_one(documents, empty):
     ids = [r.doc_id for r in kept.select("doc_id").collect()]
     firsts = {r.component_id for r in simhash.near_duplicates(documents).select(F.col("component_id")).collect()}
     assert len(ids) == len(set(ids)) and set(ids) == firsts
+
+
+def test_keep_one_of_each_group_where_ids_repeat(spark):
+    r = random.Random(8)
+    text = {k: " ".join(f"{k}{r.randint(0, 10**6)}" for _ in range(60)) for k in "abcdefg"}
+    rows = [(3, "a"), (5, "b"), (5, "a"), (None, "c"), (None, "d"), (None, "a"), (7, "e"), (7, "f"), (7, "f"), (9, "f"), (11, "g"), (12, "g"), (None, "g")]
+    docs = spark.createDataFrame([(d, text[k], k) for d, k in rows], "doc_id long, text string, k string").repartition(3)
+    kept = simhash.keep_one(docs).collect()
+    assert sorted((str(x.doc_id), x.k) for x in kept) == [("11", "g"), ("3", "a"), ("5", "b"), ("7", "e"), ("7", "f"), ("None", "c"), ("None", "d")]
+    assert all(x.text == text[x.k] for x in kept)

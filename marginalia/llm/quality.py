@@ -20,7 +20,7 @@ MAX_REPEAT_PERCENT = 30
 #: Share of a pool that the determinant is minimised over, and the number of concentration steps.
 SUBSET = 0.75
 STEPS = 4
-#: A pool with fewer documents borrows: its language's small pools, then all small pools.
+#: A language and source with fewer documents are judged by all of the language, then by the whole corpus.
 MIN_POOL = 200
 #: Names of the transformed statistics and the least standard deviation each is given, so that a
 #: statistic that is the same in almost all documents doesn't make the determinant vanish.
@@ -196,12 +196,21 @@ def _nearest(df: DataFrame, subset: float = SUBSET) -> DataFrame:
 
 
 def pools(docs: DataFrame, min_pool: int = MIN_POOL) -> DataFrame:
-    """lang, source, pool: language and source, or, of those with too few documents, what they are pooled to."""
-    sizes = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
-    own = F.when(F.col("n") >= min_pool, F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source")))
-    in_lang = F.sum(F.when(F.col("n") < min_pool, F.col("n"))).over(Window.partitionBy("lang"))
-    by_lang = F.when(in_lang >= min_pool, F.to_json(F.struct(F.lit(1).alias("level"), "lang")))
-    return sizes.select("lang", "source", F.coalesce(own, by_lang, F.lit('{"level":2}')).alias("pool"))
+    """lang, source, pool, feeds: the pool that judges a language and source, and all pools their documents are part of.
+
+    Language and source, or, of those with too few documents, the whole language,
+    or the whole corpus, large sources included. A wider pool is only made where
+    some pair is judged by it.
+    """
+    sizes = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).withColumn("in_lang", F.sum("n").over(Window.partitionBy("lang")))
+    own = F.to_json(F.struct(F.lit(0).alias("level"), "lang", "source"))
+    by_lang = F.to_json(F.struct(F.lit(1).alias("level"), "lang"))
+    every = F.lit('{"level":2}')
+    named = sizes.select("lang", "source", own.alias("own"), by_lang.alias("by_lang"), every.alias("every"),
+                         F.when(F.col("n") >= min_pool, own).when(F.col("in_lang") >= min_pool, by_lang).otherwise(every).alias("pool"))
+    used = named.agg(F.collect_set(F.when(F.col("pool") != F.col("own"), F.col("pool"))).alias("used"))  # one a language at most
+    feeds = F.filter(F.array("own", "by_lang", "every"), lambda x: (x == F.col("pool")) | F.array_contains("used", x))
+    return named.crossJoin(F.broadcast(used)).select("lang", "source", "pool", feeds.alias("feeds"))
 
 
 #: Up to so many pairs of language and source their estimates (20 numbers each) are broadcast; beyond, joined.
@@ -218,8 +227,10 @@ def estimates(docs: DataFrame, *, subset: float = SUBSET, steps: int = STEPS, mi
     ``min_pool`` documents have no estimate.
     """
     fine = docs.where(~F.col("base_failed"))
-    named = pools(fine, min_pool).select(F.col("lang").alias("l"), F.col("source").alias("s"), "pool")
-    rated = cut(fine.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s"))).select("pool", *[f"x{i}" for i in range(P)]))
+    named = cut(pools(fine, min_pool).select(F.col("lang").alias("l"), F.col("source").alias("s"), "pool", "feeds"))
+    joined = fine.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
+    rated = cut(joined.select(F.explode("feeds").alias("pool"), *[f"x{i}" for i in range(P)]))
+    named = named.drop("feeds")
     floor = [SCALE * s for s in STATISTICS.values()]
     start = rated.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)])
     shape = start.select("pool", *[F.col(f"m{i}").cast("double") for i in range(P)],
@@ -243,9 +254,9 @@ def verdicts(documents: DataFrame, *, subset: float = SUBSET, steps: int = STEPS
 
     Statistic vectors are pooled by language and source; documents that fail
     the base rules take no part. A document beyond the chi-square ``tail`` is
-    rejected. A pool with fewer than ``min_pool`` documents borrows from its
-    language's small pools, then from all small pools; where not even those have
-    ``min_pool`` none is rejected.
+    rejected. A pair with fewer than ``min_pool`` documents is judged by all of
+    its language, where that has fewer by the whole corpus; only a corpus that
+    has fewer than ``min_pool`` gives no estimate, and none is rejected.
 
     Nulls: null text has no words and fails the base rules; null language or
     source are values of their own. Ties in distance stay together. Repeated

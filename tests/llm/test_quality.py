@@ -76,6 +76,23 @@ def test_rejects_symbols_keeps_prose(spark, plain_rows):
     assert {r.doc_id for r in left.select("doc_id").collect()} == {d for d, k in kept.items() if k}
 
 
+def test_rare_pairs_are_judged_by_their_language_then_by_all(spark, plain_rows):
+    good = [r[1] for r in plain_rows if r[1] and 20 <= len(r[1].split()) < 1000 and base(r[1])[4] == 0]
+    junk = " ".join(f"stone{k}$$$$ &&&&{k}" for k in range(40))
+    rows = [(i, good[i % len(good)], "en", "large") for i in range(400)]
+    rare = [("en", "rare"), ("xx", "large"), (None, None), ("en", None)]
+    rows += [(1000 + i, junk, *p) for i, p in enumerate(rare)] + [(2000 + i, good[i], *p) for i, p in enumerate(rare)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in quality.verdicts(df).collect()}
+    assert not any(got[1000 + i].base_failed or got[1000 + i].kept for i in range(4))
+    assert all(got[2000 + i].kept and got[2000 + i].d2 is not None for i in range(4)) and all(got[i].kept for i in range(400))
+    x = np.array([r[1:] for r in quality.counts(df).where("lang = 'en'").select("doc_id", *quality.vector()).orderBy("doc_id").collect()], float)
+    factor = quality.SUBSET / quality.chi2_cdf(quality.chi2_at(1 - quality.SUBSET, quality.P), quality.P + 2)
+    want = brute(x, quality.SUBSET, quality.STEPS, np.array([quality.SCALE * s for s in quality.STATISTICS.values()])) / factor
+    ids = sorted(r[0] for r in rows if r[2] == "en")
+    np.testing.assert_allclose([got[d].d2 for d in (1000, 1003, 2000, 2003)], [want[ids.index(d)] for d in (1000, 1003, 2000, 2003)], rtol=1e-6)
+
+
 def test_empty(empty):
     assert quality.verdicts(empty).count() == 0
 

@@ -34,12 +34,13 @@ HEADS = (5, 6, 7)
 MIN_TOXIC_DOCS = 3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 SYMBOLS = "".join(map(re.escape, (c for c in LEET if not c.isdigit())))
-#: A letter beside a digit or symbol that imitates one; single letters set apart; a letter three times.
+#: A whole run of letters and of digits or symbols that imitate them, with one of each; single letters set apart; a letter three times.
 DISGUISED = re.compile(
-    rf"(?<![a-z0-9])(?=[a-z0-9{SYMBOLS}]*[a-z])(?:[a-z]+[0-9{SYMBOLS}]|[0-9{SYMBOLS}]+[a-z])[a-z0-9{SYMBOLS}]{{2,24}}"
+    rf"(?<![a-z0-9{SYMBOLS}])(?=[0-9{SYMBOLS}]*+[a-z])(?=[a-z]*+[0-9{SYMBOLS}])[a-z0-9{SYMBOLS}]++"
     rf"|(?<![^\W_])[a-z0-9{SYMBOLS}](?:[ ._*\-]{{1,2}}[a-z0-9{SYMBOLS}]){{3,24}}(?![^\W_])"
     r"|(?<![a-z])[a-z]{0,20}([a-z])\1\1[a-z]{0,20}")
 GAPS = " ._*-"
+_IMITATIONS = "".join(LEET)
 STATES = 27
 
 
@@ -54,11 +55,11 @@ class Channel:
 
     def restore(self, span: str) -> str:
         """The likeliest plain reading of a lower-case span."""
-        beams: dict[tuple[int, int, str], tuple[float, str]] = {(0, 0, ""): (0.0, "")}
+        beams: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}  # readings as (what stands before, letter), so that long runs stay linear
         for c in span:
-            following: dict[tuple[int, int, str], tuple[float, str]] = {}
+            following: dict[tuple[int, int, str], tuple[float, tuple]] = {}
 
-            def put(key: tuple[int, int, str], score: float, text: str) -> None:
+            def put(key: tuple[int, int, str], score: float, text: tuple) -> None:
                 if key not in following or following[key][0] < score:  # noqa: B023
                     following[key] = (score, text)  # noqa: B023
 
@@ -67,7 +68,7 @@ class Channel:
                 readings += [(r, self.swap) for r in LEET.get(c, "")]
                 for r, cost in readings:
                     i = ord(r) - 96
-                    put((b, i, c), score + cost + self.logp[a, b, i], text + r)
+                    put((b, i, c), score + cost + self.logp[a, b, i], (text, r))
                 if c in GAPS:
                     put((a, b, last), score, text)
                 elif c == last:
@@ -75,7 +76,12 @@ class Channel:
                 elif not readings or c in LEET:
                     put((a, b, c), score + self.lose, text)
             beams = dict(sorted(following.items(), key=lambda x: -x[1][0])[:64])
-        return max(((score + self.logp[a, b, 0], text) for (a, b, _), (score, text) in beams.items()), default=(0.0, ""))[1]
+        ends = [(score + self.logp[a, b, 0], text) for (a, b, _), (score, text) in beams.items()]
+        text, out = max(ends, key=lambda x: x[0], default=(0.0, ()))[1], []
+        while text:
+            text, r = text
+            out.append(r)
+        return "".join(reversed(out))
 
 
 def letter_counts(documents: DataFrame) -> DataFrame:
@@ -144,7 +150,8 @@ class Model:
         spans = []
         for m in DISGUISED.finditer(low):
             span = m.group()
-            if span in index:
+            core = span.strip(_IMITATIONS)
+            if span in index or (core != span and core.isalpha() and self.entries_of(core, index)):  # a plain word beside punctuation: the trie has it
                 continue
             if (read := cache.get(span)) is None:
                 if len(cache) > 200_000:

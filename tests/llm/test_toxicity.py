@@ -53,6 +53,17 @@ def test_disguised_words(corpus):
     assert model.channel.restore("1d10t") == "idiot" and model.channel.restore("m.o.r.o.n") == "moron"
 
 
+def test_substitutes_anywhere_in_a_run(corpus):
+    docs, marks, *_ = corpus
+    model = toxicity.fit(docs, marks)
+    trie = toxicity.trie_of(model.lexicon)
+    for text, word in {"an idi0t here": "idiot", "you mor0n": "moron", "p4thetic and w0rthles$ now": "worthless"}.items():
+        found, _, spans = model.hits(text, trie, {})
+        assert found.get(model.lexicon.index(word)) == 1 and any(x == word for *_, x in spans), text
+    assert model.hits("idiot! (moron", trie, {})[0] == model.hits("idiot moron", trie, {})[0] and not model.hits("idiot! (moron", trie, {})[2]
+    assert 3000 <= len(model.channel.restore("a1" * 3000)) <= 6000  # the whole run
+
+
 def test_letter_counts(spark):
     got = {r.code: r.n for r in toxicity.letter_counts(spark.createDataFrame([("Aba", 1), (None, 2), ("", 3)], "text string, x int")).collect()}
     assert got == {(1 * 27 + 2) * 27 + 1: 1}

@@ -64,3 +64,65 @@ def test_rows_and_redaction(spark, documents, plain_rows, empty):
     df = spark.createDataFrame([(1, "mail a@b.co or +1 (555) 123-4567."), (2, "ü none"), (3, None)], "doc_id long, text string")
     assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == {1: "mail [EMAIL] or [PHONE].", 2: "ü none", 3: None}
     assert set(entries.queries()) >= {"op7_pii"}
+
+
+def test_many_labels_and_spans(spark):
+    """Patterns don't recurse, and work follows the length of a text."""
+    rows = [(1, "a@b" + ".c" * 100_000), (2, "x@y.com " * 100_000), (3, "ab (at) cd" + ".ef" * 100_000), (4, "call 555-123-4567 now " * 10_000), (5, "12:" * 50_000), (6, "ab (at) " + "123-45-6789." * 10_000)]
+    got = {r.doc_id: r for r in pii.find(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [(s.kind, s.start, s.end) for s in got[1].base] == [("email", 0, 200_003)] and not got[1].added
+    assert [(s.start, s.end) for s in got[2].base] == [(8 * i, 8 * i + 7) for i in range(100_000)]
+    assert [(s.start, s.end) for s in got[4].added] == [(22 * i + 5, 22 * i + 17) for i in range(10_000)]
+
+
+@pytest.mark.parametrize(("text", "want"), [
+    ("login from 2001:db8:0:1:1:1:1:1 ok", [(11, 31)]), ("ip 192[.]168[.]1[.]7 seen", [(3, 20)]), ("host fe80::1 up", [(5, 12)]), ("at 12:30:45 it", []), ("mac 00:1a:2b:3c:4d:5e", [])])
+def test_added_addresses(spark, text, want):
+    r = pii.find(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert [(s.start, s.end) for s in r.added if s.kind == "ip"] == want and len(r.added) == len(want)
+
+
+def test_added_spans_against_brute_force(spark):
+    """What is added: proposals over their kind's threshold that no base span overlaps; those that overlap are one."""
+    import pyspark.sql.functions as F
+
+    r = random.Random(12)
+    lines = [x[0] for x in pii.labelled_lines(400, seed=5)]
+    texts = [r.choice(["; ", " ", ""]).join(r.sample(lines, 6)) + r.choice(["", " a@b.co", " 4111 1111 1111 1111"]) for _ in range(150)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, limits = pii.calibrated(spark)
+    made = pii.features("c")
+    rows = df.select("doc_id", F.expr(f"explode({pii.candidates()[1]}) as c")).select("doc_id", "c.kind", "c.start", "c.end", *[F.expr(s).alias(f"f_{n}") for n, s in made.items()]).collect()
+    p = model.predict(__import__("numpy").array([tuple(x)[4:] for x in rows]))
+    want = {i: [] for i in range(len(texts))}
+    base = {i: brute(t) for i, t in enumerate(texts)}
+    for x, q in zip(rows, p, strict=True):
+        if q >= limits[x.kind] and not any(a < x.end and x.start < b for _, a, b in base[x.doc_id]):
+            want[x.doc_id].append((x.start, x.end, float(q), x.kind))
+    merged = {}
+    for i, found in want.items():
+        out = []
+        for a, b, q, k in sorted(found):
+            if out and a < out[-1][1]:
+                best = max((out[-1][2], out[-1][3]), (q, k), key=lambda z: z[0])
+                out[-1] = (out[-1][0], max(b, out[-1][1]), *best)
+            else:
+                out.append((a, b, q, k))
+        merged[i] = sorted((a, b, k) for a, b, _, k in out)
+    got = {x.doc_id: sorted((s.start, s.end, s.kind) for s in x.added) for x in pii.find(df).collect()}
+    assert got == merged and sum(map(len, merged.values())) > 200
+
+
+def test_thresholds():
+    import numpy as np
+
+    assert pii._threshold(np.array([0.9, 0.8, 0.7, 0.6]), np.array([1, 1, 0, 1])) == 0.8
+    assert pii._threshold(np.array([0.9, 0.9]), np.array([1, 0])) > 1 and pii._threshold(np.empty(0), np.empty(0)) > 1
+
+
+def test_redaction_of_rows_that_share_an_id(spark):
+    rows = [(1, "mail a@b.co now please", "x"), (1, "nothing to see here at all", "y"), (None, "a@b.co 😀 c@d.ef!", "z"), (None, "n" * 3000 + " a@b.co " + "m" * 3000, None)]
+    got = pii.redacted(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert got.columns == ["doc_id", "text", "source"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(
+        [(1, "mail [EMAIL] now please", "x"), (1, rows[1][1], "y"), (None, "[EMAIL] 😀 [EMAIL]!", "z"), (None, "n" * 3000 + " [EMAIL] " + "m" * 3000, None)], key=str)

@@ -107,8 +107,3 @@ def luhn(value: str) -> str:
 
 def flag(condition: str) -> str:
     return f"if({condition}, 1D, 0D)"
-
-
-def before(text: str, start: str, n: int = 40) -> str:
-    """Up to n code points before a place, in lower case."""
-    return f"lower(substring({text}, cast(greatest({start} - {n}, 0) + 1 as int), cast(least({start}, {n}) as int)))"

@@ -1,11 +1,13 @@
 """Toxicity: noisy-channel deobfuscation, then a score of the restored text.
 
-Spans that look disguised (leetspeak, letters spaced out, letters repeated) are
-lattices: every character may stand for itself, for the letters it imitates, or
-for nothing. A Viterbi search finds the likeliest plain reading under a
-character trigram model. The plain text and the readings are then scored by a
-logistic model over a lexicon of words and beginnings of words (languages that
-compound have no fixed word list), both learnt from labelled rows.
+Stretches that look disguised (leetspeak, letters spaced out, letters repeated)
+are lattices: every character may stand for itself, for the letters it imitates,
+or for nothing, and a gap for nothing or for a word break. A Viterbi search finds
+the likeliest plain reading under a character trigram model, and the readings
+take the stretches' places. The restored text is then scored by a logistic model
+over a lexicon of words and beginnings of words (languages that compound have no
+fixed word list), both learnt from labelled rows, and over how much of the text
+they are and how much of it was disguised.
 """
 
 from __future__ import annotations
@@ -23,65 +25,109 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.llm.common import ASCII_LOWER, ASCII_UPPER, filled, fold, only
-from marginalia.session import ship
+from marginalia.session import cut, ship
 
 THRESHOLD = 0.7
 #: Most labelled documents that the classifier is fitted on, taken by hash of the id.
 MAX_LABELLED = 12_000
-#: Most entries of the lexicon; an entry is a word, or a beginning of so many letters (marked by a hyphen).
-MAX_LEXICON = 256
+#: An entry of the lexicon is a word, or a beginning of so many letters (marked by a hyphen).
 HEADS = (5, 6, 7)
 MIN_TOXIC_DOCS = 3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
-SYMBOLS = "".join(map(re.escape, (c for c in LEET if not c.isdigit())))
-#: A whole run of letters and of digits or symbols that imitate them, with one of each; single letters set apart; a letter three times.
-DISGUISED = re.compile(
-    rf"(?<![a-z0-9{SYMBOLS}])(?=[0-9{SYMBOLS}]*+[a-z])(?=[a-z]*+[0-9{SYMBOLS}])[a-z0-9{SYMBOLS}]++"
-    rf"|(?<![^\W_])[a-z0-9{SYMBOLS}](?:[ ._*\-]{{1,2}}[a-z0-9{SYMBOLS}]){{3,24}}(?![^\W_])"
-    r"|(?<![a-z])[a-z]{0,20}([a-z])\1\1[a-z]{0,20}")
 GAPS = " ._*-"
+_SYMBOLS = "".join(map(re.escape, (c for c in LEET if not c.isdigit())))
+_RUN_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz").union(LEET)
+_IMITATION = re.compile(rf"[0-9{_SYMBOLS}]")
+_RUN = re.compile(rf"[a-z0-9{_SYMBOLS}]*+")
+_LETTER = re.compile(r"[a-z]")
+_LETTERS = re.compile(r"[a-z]*+")
+_TRIPLE = re.compile(r"([a-z])\1\1")
+#: Four or more single characters set apart.
+_SPACED = re.compile(rf"(?<![^\W_])[a-z0-9{_SYMBOLS}](?![^\W_])(?:[ ._*\-]{{1,2}}[a-z0-9{_SYMBOLS}](?![^\W_])){{3,}}+")
 _IMITATIONS = "".join(LEET)
+_GAP = frozenset(GAPS)
 STATES = 27
 
 
+def disguised(low: str) -> list[tuple[int, int]]:
+    """Stretches of a lower-case text that may hide words, in order and apart, of any length; linear in the text.
+
+    A whole run of letters and of digits or symbols that imitate them, with one
+    of each; single characters set apart; a word with a letter three times.
+    """
+    found = [m.span() for m in _SPACED.finditer(low)]
+    for first, whole, chars in ((_IMITATION, _RUN, _RUN_CHARS), (_TRIPLE, _LETTERS, _RUN_CHARS.difference(LEET))):
+        end = 0
+        for m in first.finditer(low):
+            a = m.start()
+            if a < end:
+                continue  # in the run before
+            while a > end and low[a - 1] in chars:
+                a -= 1
+            end = whole.match(low, m.start()).end()  # type: ignore[union-attr]
+            if _LETTER.search(low, a, end):
+                found.append((a, end))
+    found.sort(key=lambda x: (x[0], -x[1]))
+    out, end = [], 0
+    for a, b in found:
+        if a >= end:
+            out.append((a, b))
+            end = b
+    return out
+
+
 @dataclass
 class Channel:
-    """The character model (log probability of a letter after two, 0 is the edge) and what a change costs."""
+    """The character model (log probability of a letter after two, 0 is the edge of a word) and what a change costs."""
 
     logp: np.ndarray
     swap: float = -0.7
     drop: float = -0.4
     lose: float = -2.5
+    split: float = -1.0
+
+    def __post_init__(self) -> None:
+        self.table = self.logp.tolist()
+
+    def options(self, c: str, last: str) -> tuple[list[tuple[str, float]], float | None, bool]:
+        """Letters that a character may stand for with their costs; what it costs to leave it out, if it may be; whether it may be a word break."""
+        if c in GAPS:
+            return [], 0.0, True
+        readings = [(c, 0.0)] if "a" <= c <= "z" else []
+        readings += [(r, self.swap) for r in LEET.get(c, "")]
+        return readings, self.drop if c == last else self.lose if not readings or c in LEET else None, False
 
     def restore(self, span: str) -> str:
-        """The likeliest plain reading of a lower-case span."""
-        beams: dict[tuple[int, int, str], tuple[float, tuple]] = {(0, 0, ""): (0.0, ())}  # readings as (what stands before, letter), so that long runs stay linear
+        """The likeliest plain reading of a lower-case span: exact, over the last two letters as states."""
+        table = self.table
+        best: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}  # a reading is (what stands before, letter), so that long runs stay linear
+        last = ""
         for c in span:
-            following: dict[tuple[int, int, str], tuple[float, tuple]] = {}
-
-            def put(key: tuple[int, int, str], score: float, text: tuple) -> None:
-                if key not in following or following[key][0] < score:  # noqa: B023
-                    following[key] = (score, text)  # noqa: B023
-
-            for (a, b, last), (score, text) in beams.items():
-                readings = [(c, 0.0)] if "a" <= c <= "z" else []
-                readings += [(r, self.swap) for r in LEET.get(c, "")]
-                for r, cost in readings:
-                    i = ord(r) - 96
-                    put((b, i, c), score + cost + self.logp[a, b, i], (text, r))
-                if c in GAPS:
-                    put((a, b, last), score, text)
-                elif c == last:
-                    put((a, b, c), score + self.drop, text)
-                elif not readings or c in LEET:
-                    put((a, b, c), score + self.lose, text)
-            beams = dict(sorted(following.items(), key=lambda x: -x[1][0])[:64])
-        ends = [(score + self.logp[a, b, 0], text) for (a, b, _), (score, text) in beams.items()]
-        text, out = max(ends, key=lambda x: x[0], default=(0.0, ()))[1], []
+            readings, skip, gap = self.options(c, last)
+            codes = [(ord(r) - 96, r, cost) for r, cost in readings]
+            following: dict[tuple[int, int], tuple[float, tuple]] = {}
+            for (a, b), (score, text) in best.items():
+                own = table[a][b]
+                for i, r, cost in codes:
+                    to = score + cost + own[i]
+                    if (held := following.get((b, i))) is None or held[0] < to:
+                        following[b, i] = (to, (text, r))
+                if skip is not None:
+                    to = score + skip
+                    if (held := following.get((a, b))) is None or held[0] < to:
+                        following[a, b] = (to, text)
+                if gap and b:
+                    to = score + own[0] + self.split
+                    if (held := following.get((0, 0))) is None or held[0] < to:
+                        following[0, 0] = (to, (text, " "))
+            best = following
+            if not gap:
+                last = c
+        text, out = max(((score + table[a][b][0], text) for (a, b), (score, text) in best.items()), key=lambda x: x[0])[1], []
         while text:
             text, r = text
             out.append(r)
-        return "".join(reversed(out))
+        return "".join(reversed(out)).strip()
 
 
 def letter_counts(documents: DataFrame) -> DataFrame:
@@ -130,52 +176,88 @@ class Model:
     weights: np.ndarray
     channel: Channel
 
-    def entries_of(self, word: str, index: dict[str, int]) -> list[int]:
-        return [index[x] for x in (word, *(word[:n] + "-" for n in HEADS if len(word) > n)) if x in index]
+    def restored(self, low: str, trie: ahocorasick.Automaton | None, cache: dict[str, tuple[str, bool]]) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]:
+        """The text with readings in place of disguised stretches; those that hold an entry, with their readings, and where these stand in it.
 
-    def hits(self, text: str | None, trie: ahocorasick.Automaton | None, cache: dict[str, str]) -> tuple[dict[int, int], int, list[tuple[int, int, str]]]:
-        """Lexicon entries found (number: times), words in the text, disguised spans with their readings."""
+        A stretch whose reading holds no entry stays as it is.
+        """
+        parts, spans, places, at, size = [], [], [], 0, 0
+        for a, b in disguised(low):
+            span = low[a:b]
+            if (known := cache.get(span)) is None:
+                if len(cache) > 100_000:
+                    cache.clear()
+                core = span.strip(_IMITATIONS)
+                if core.isalpha() and self.entries(core, trie):  # a plain word beside punctuation
+                    known = (span, False)
+                else:
+                    read = self.channel.restore(span)
+                    if not self.entries(read, trie) and not _GAP.isdisjoint(span):
+                        read = self.parted(read, trie)
+                    known = (read, True) if self.entries(read, trie) else (span, False)
+                if len(span) <= 1000:  # the cache stays small
+                    cache[span] = known
+            read, hit = known
+            if hit:
+                left = " " if a and low[a - 1].isalpha() else ""  # a reading is words of its own
+                right = " " if b < len(low) and low[b].isalpha() else ""
+                parts += [low[at:a], left, read, right]
+                size += a - at + len(left)
+                places.append((size, size + len(read)))
+                size += len(read) + len(right)
+                spans.append((a, b, read))
+                at = b
+        return "".join([*parts, low[at:]]), spans, places
+
+    def parted(self, read: str, trie: ahocorasick.Automaton | None) -> str:
+        """A reading of spaced letters, where any letter may begin a word, with breaks around its longest whole entry."""
+        found = [(-length, end + 1 - length, end + 1) for end, spelt in (trie.iter(read) if trie else ()) for _, length, whole in spelt if whole]
+        if not found:
+            return read
+        _, a, b = min(found)
+        return f"{read[:a]} {read[a:b]} {read[b:]}".strip()
+
+    def entries(self, low: str, trie: ahocorasick.Automaton | None) -> list[tuple[int, int]]:
+        """(entry, place of its last letter) wherever a word begins with one, or is one."""
+        out, n = [], len(low)
+        for end, spelt in trie.iter(low) if trie else ():
+            start = end - spelt[0][1] + 1
+            if start == 0 or not low[start - 1].isalpha():
+                goes_on = end + 1 < n and low[end + 1].isalpha()
+                out += [(k, end) for k, _, whole in spelt if whole != goes_on]
+        return out
+
+    def hits(self, text: str | None, trie: ahocorasick.Automaton | None, cache: dict[str, tuple[str, bool]]) -> tuple[dict[int, int], int, list[tuple[int, int, str]]]:
+        """Lexicon entries of the restored text (number: times; -1: those in disguised stretches), words in the text, disguised stretches with their readings."""
         low = (text or "").translate(_LOWER)
+        plain, spans, places = self.restored(low, trie, cache)
         found: dict[int, int] = {}
-        n = len(low)
-        if trie:
-            for end, spelt in trie.iter(low):
-                start = end - spelt[0][1] + 1
-                if start == 0 or not low[start - 1].isalpha():
-                    goes_on = end + 1 < n and low[end + 1].isalpha()
-                    for k, _, whole in spelt:
-                        if whole != goes_on:
-                            found[k] = found.get(k, 0) + 1
-        index = cache.setdefault("", {w: k for k, w in enumerate(self.lexicon)})  # type: ignore[arg-type]
-        spans = []
-        for m in DISGUISED.finditer(low):
-            span = m.group()
-            core = span.strip(_IMITATIONS)
-            if span in index or (core != span and core.isalpha() and self.entries_of(core, index)):  # a plain word beside punctuation: the trie has it
-                continue
-            if (read := cache.get(span)) is None:
-                if len(cache) > 200_000:
-                    cache.clear()
-                    cache[""] = index
-                cache[span] = read = self.channel.restore(span)
-            if own := self.entries_of(read, index):
-                for k in own:
-                    found[k] = found.get(k, 0) + 1
-                spans.append((m.start(), m.end(), read))
+        hidden, k = 0, 0
+        for entry, end in self.entries(plain, trie):
+            found[entry] = found.get(entry, 0) + 1
+            while k < len(places) and places[k][1] <= end:
+                k += 1
+            hidden += k < len(places) and places[k][0] <= end
+        if hidden:
+            found[-1] = hidden
         return found, len(low.split()), spans
 
     def vector(self, found: dict[int, int], words: int) -> np.ndarray:
-        x = np.zeros(len(self.lexicon) + 4)
+        x = np.zeros(len(self.lexicon) + EXTRA)
+        total = 0
         for k, n in found.items():
-            x[k] = math.log1p(n)
-        total = sum(found.values())
-        x[-4], x[-3], x[-2], x[-1] = len(found), math.log1p(total), math.log1p(100 * total / (words + 1)), 1
+            if k >= 0:
+                x[k] = math.log1p(n)
+                total += n
+        x[-5:] = math.log1p(found.get(-1, 0)), len(found.keys() - {-1}), math.log1p(total), math.log1p(100 * total / (words + 1)), 1
         return x
 
     def score(self, found: dict[int, int], words: int) -> float:
         return float(1 / (1 + np.exp(-self.vector(found, words) @ self.weights)))
 
 
+#: Columns of the classifier beside the lexicon's: disguised entries, distinct ones, all, their share of the words, and the constant.
+EXTRA = 5
 _LOWER = str.maketrans(ASCII_UPPER, ASCII_LOWER)
 
 
@@ -203,16 +285,18 @@ def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> np.ndarray:
     return w
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held: int = 1, max_labelled: int = MAX_LABELLED, max_lexicon: int = MAX_LEXICON) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held: int = 1, max_labelled: int = MAX_LABELLED) -> Model:
     """Character model from all texts; lexicon and weights from at most ``max_labelled`` labelled rows outside the held-out fold.
 
     Labels of one id that differ count as toxic if any is; null labels and ids
     are left out. Without labels of both kinds nothing is known to be toxic and
-    every text scores the share of toxic labels.
+    every text scores the share of toxic labels. The lexicon is every entry of
+    the sample that is in toxic texts far more often than in others; the sample
+    bounds it, nothing else.
     """
     marked = labels.select("doc_id", "toxic").where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), modulus) != held)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    docs = only(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most max_labelled rows
+    docs = cut(only(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id"))  # at most max_labelled ids, and few rows an id
     words = F.expr(f"regexp_extract_all(translate(coalesce(text, ''), '{ASCII_UPPER}', '{ASCII_LOWER}'), '(?<![\\\\p{{L}}])[\\\\p{{L}}]{{3,32}}+(?![\\\\p{{L}}])', 0)")
     each = docs.select("toxic", "doc_id", F.explode(words).alias("w")).groupBy("toxic", "doc_id", "w").agg(F.count(F.lit(1)).alias("c"))
     heads = ", ".join(f"if(length(w) > {n}, concat(left(w, {n}), '-'), null)" for n in HEADS)
@@ -228,11 +312,11 @@ def fit(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held: int
         t, c = F.col("t1") / toxic, F.col("c1") / clean
         spread = F.sqrt((F.col("t2") / toxic - t * t) / toxic + (F.col("c2") / clean - c * c) / clean + 1e-12)
         lexicon = sorted(r.entry for r in by.where((F.col("docs") >= MIN_TOXIC_DOCS) & (t > 0.01) & (t > 5 * c) & ((t - c) / spread > 3.5))
-                         .orderBy(F.desc((t - c) / spread), "entry").limit(max_lexicon).collect())
+                         .select("entry").collect())  # of the sample's words those that pass
     corpus = np.zeros(STATES**3)
     for r in letter_counts(documents).collect():  # at most 27 ** 3 rows
         corpus[r.code] = r.n
-    made = Model(lexicon, np.zeros(len(lexicon) + 4), Channel(character_model(corpus, [w for w in lexicon if w.isascii() and not w.endswith("-")])))
+    made = Model(lexicon, np.zeros(len(lexicon) + EXTRA), Channel(character_model(corpus, [w for w in lexicon if w.isascii() and not w.endswith("-")])))
     base = math.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -10.0
     made.weights[-1] = base
     if lexicon:
@@ -269,7 +353,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held:
     """doc_id, held_out, score, predicted, spans (disguised words: start, end in code points, reading) of every row.
 
     Only the text makes the score. Null text is empty and scored like any other;
-    repeated rows stay repeated; an empty table gives no rows.
+    repeated rows stay repeated; an empty table gives no rows; other columns are
+    left out. Texts are read whole in linear time, stretches of any length.
     """
     model = fit(documents, labels, modulus=modulus, held=held)
     return _read(only(documents, "doc_id", "text"), model).select(

@@ -76,3 +76,89 @@ def test_no_labels(spark, corpus, empty):
     assert toxicity.toxicity(empty, none).count() == 0
     model = toxicity.character_model(np.zeros(27**3), [])
     np.testing.assert_allclose(np.exp(model).sum(-1), 1)
+
+
+def brute_reading(channel, span):
+    """The best score over every way to read, leave out or break at each character."""
+    best = (-1e300, "")
+
+    def go(i, a, b, last, score, text):
+        nonlocal best
+        if i == len(span):
+            total = score + channel.logp[a, b, 0]
+            if total > best[0]:
+                best = (total, text.strip())
+            return
+        c = span[i]
+        readings, skip, gap = channel.options(c, last)
+        following = last if gap else c
+        for r, cost in readings:
+            go(i + 1, b, ord(r) - 96, following, score + cost + channel.logp[a, b, ord(r) - 96], text + r)
+        if skip is not None:
+            go(i + 1, a, b, following, score + skip, text)
+        if gap and b:
+            go(i + 1, 0, 0, following, score + channel.logp[a, b, 0] + channel.split, text + " ")
+
+    go(0, 0, 0, "", 0.0, "")
+    return best[1]
+
+
+def test_viterbi_against_all_readings(corpus):
+    docs, marks, *_ = corpus
+    channel = toxicity.fit(docs, marks).channel
+    r = random.Random(6)
+    spans = ["1d10t", "m o r 0 n", "sss111", "a-b.c*d", "w0rthl3", "y o u i d 1 o t"[:11]] + ["".join(r.choice("abdiorst013!$ .*") for _ in range(r.randint(1, 9))) for _ in range(150)]
+    for span in spans:
+        assert channel.restore(span) == brute_reading(channel, span), span
+
+
+def test_words_beside_spaced_letters(corpus):
+    docs, marks, *_ = corpus
+    model = toxicity.fit(docs, marks)
+    trie = toxicity.trie_of(model.lexicon)
+    long = "idi" + "o" * 60 + "t"
+    for text in ("such a i d i o t", "y o u i d i o t", long, "m.o.r.o.n", "w-o-r-t-h-l-e-s-s", "p a t h 3 t 1 c river"):
+        found, _, spans = model.hits(text, trie, {})
+        assert found.get(-1) and spans, text
+    text = "so an 1d10t, and a m o r o n"
+    plain, spans, places = model.restored(text, trie, {})
+    assert plain == "so an idiot, and a moron" or plain == "so an idiot, and amoron"
+    assert [plain[a:b] for a, b in places] == [x for *_, x in spans] and [text[a:b] for a, b, _ in spans][0] == "1d10t"
+
+
+def test_linear_work(corpus):
+    import time
+
+    docs, marks, *_ = corpus
+    model = toxicity.fit(docs, marks)
+    trie = toxicity.trie_of(model.lexicon)
+    for text in ("!" * 1_000_000, "+1" * 250_000, "a" * 1_000_000, "word " * 200_000, "a b " * 100_000, "1a " * 100_000, "aaa!" * 50_000):
+        began = time.process_time()
+        model.hits(text, trie, {})
+        assert time.process_time() - began < (1 if text[0] == "!" else 20), text[:4]
+
+
+def test_disguised_words_in_held_out_documents(spark, corpus):
+    docs, marks, _, labels = corpus
+    leet = str.maketrans("oiea", "0134")
+    change = [lambda w: w.translate(leet), lambda w: " ".join(w), lambda w: w[0] + w[1] * 4 + w[2:], lambda w: ".".join(w)]
+    rows = []
+    for k, r in enumerate(docs.where("doc_id < 360").collect()):
+        text = r.text
+        for w in ("idiot", "moron", "pathetic", "worthless"):
+            text = " ".join(change[k % 4](w) if x == w else x for x in text.split(" "))
+        rows.append((10_000 + r.doc_id, text, labels[r.doc_id]))
+    model = toxicity.fit(docs, marks)
+    trie, cache = toxicity.trie_of(model.lexicon), {}
+    scored = [(mark, model.score(*model.hits(text, trie, cache)[:2]) >= 0.7) for _, text, mark in rows]
+    caught = [p for mark, p in scored if mark]
+    left = [not p for mark, p in scored if not mark]
+    assert sum(caught) >= 0.9 * len(caught) and sum(left) >= 0.97 * len(left), (sum(caught), len(caught), sum(left), len(left))
+
+
+def test_clashing_columns_ties_and_long_texts(spark, documents, plain_rows):
+    marks = spark.createDataFrame([(i, i % 2, 9) for i in range(60)] + [(3, 1, 0), (3, 0, 0)], "doc_id long, toxic int, quality int")
+    got = toxicity.toxicity(documents, marks).collect()
+    assert len(got) == len(plain_rows)
+    same = {r.score for r in got if r.doc_id == 3}
+    assert len(same) == 1 and all(0 <= r.score <= 1 for r in got)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import let  # noqa: F401
@@ -30,3 +32,26 @@ def fold(doc_id: Column, modulus: int) -> Column:
 def only(df, *names: str):
     """The columns an operator reads; whatever else a table has can't clash."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def beside(rows: DataFrame, plan: DataFrame, on: Sequence[tuple[str, str]], salt: Column, *, limit: int, parts: int = 64, how: str = "inner") -> DataFrame:
+    """Rows with the columns of a small table, joined on pairs of equal columns (nulls are equal), which the table's side loses.
+
+    The table is counted; up to ``limit`` rows it's broadcast, beyond it's
+    joined, each of its rows copied to so many parts that ``salt`` spreads the
+    rows over: a key that holds a third of all rows goes to as many tasks.
+    """
+    pairs = list(on)
+    if plan.count() <= limit:
+        plan = F.broadcast(plan)
+    else:
+        plan = plan.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("__part"))
+        rows = rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int"))
+        pairs.append(("__salt", "__part"))
+    same = F.lit(True)
+    for a, b in pairs:
+        same = same & rows[a].eqNullSafe(plan[b])
+    out = rows.join(plan, same, how)
+    for _, b in pairs:
+        out = out.drop(plan[b])
+    return out.drop("__salt")

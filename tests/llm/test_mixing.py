@@ -90,3 +90,24 @@ def test_mixed_repeats_rows(documents, empty):
         want[r.doc_id] = want.get(r.doc_id, 0) + (round(r.taken / r.size) if r.size else 1)
     boundary = 5
     assert sum(abs(counted.get(d, 0) - n) for d, n in want.items()) <= boundary
+
+
+def test_shards_take_their_quotas(documents):
+    got = mixing.mix(documents, n_shards=5).collect()
+    assert all(sum(x.words for x in r.shards) == r.taken for r in got)
+    quota = {(r.source, r.shard): r.quota for r in mixing.shard_quotas(documents, 5).collect()}
+    words = {}
+    for r in got:
+        for x in r.shards:
+            words[r.source, x.shard] = words.get((r.source, x.shard), 0) + x.words
+    # whole blocks, but where three readings of a source end
+    assert all(words.get(k, 0) in (mixing.BLOCK_WORDS * q, max(0, mixing.BLOCK_WORDS * q - mixing.BLOCK_WORDS + 1)) or words.get(k, 0) <= mixing.BLOCK_WORDS * q for k, q in quota.items())
+    total = {s: sum(q for (t, _), q in quota.items() if t == s) for s, _ in quota}
+    for r in got:
+        assert sum(n for (s, _), n in words.items() if s == r.source) == min(mixing.BLOCK_WORDS * total[r.source], 3 * r.source_size)
+
+
+def test_many_sources_are_joined_in_parts(documents, monkeypatch):
+    plain = sorted(map(str, mixing.mix(documents).collect())), sorted(map(str, mixing.mixed(documents).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert (sorted(map(str, mixing.mix(documents).collect())), sorted(map(str, mixing.mixed(documents).collect()))) == plain

@@ -32,10 +32,16 @@ from marginalia.session import cut, remove, scratch, ship
 
 DEPTH = 4
 END = 0xFF  # in no UTF-8 text: closes a text, and stands before its first byte
-#: Nodes that one pass of scoring holds in memory (16 bytes each, and as much again while a level is read); beyond it documents are read once for each block.
-BLOCK_NODES = 6_000_000
+#: Nodes that one pass of scoring holds in memory (16 bytes each, 17 more while a level is read); beyond it documents are read once for each block.
+BLOCK_NODES = 16_000_000
+#: log10 probabilities are added up as whole numbers of this unit, so that sums don't depend on their order.
+UNIT = 2.0**-36
 PIECE = 1 << 20
 CHUNK_TOKENS = 1 << 20
+#: Distinct words of a hash bucket, and entries (words of a chunk) that one task adds up, on average.
+BUCKET_WORDS, GROUP_ENTRIES = 1 << 16, 4_000_000
+#: Least hashes of a chunk that the number of distinct words is estimated from.
+SKETCH = 256
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -86,9 +92,10 @@ def gram_counts(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, key in pieces(batch.column(0), depth):
-                parts.append(np.unique(key, return_counts=True))
+                code, distinct = pd.factorize(key)
+                parts.append((distinct, np.bincount(code)))
                 if sum(len(k) for k, _ in parts[1:]) > 1_000_000:
-                    parts = [merged(parts)]
+                    parts = [merged(parts)]  # no more than the distinct strings of the task's texts
         if parts:
             keys, counts = merged(parts)
             for at in range(0, len(keys), 100_000):
@@ -106,60 +113,67 @@ def _lgamma(x: str) -> str:
 
 
 def tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """depth, key (context << 8 | decision), a, b (zeros, ones), own (weight of the node's own estimate).
+    """depth, key (context << 8 | decision), a, b (zeros, ones), own (weight of the node's own estimate), one, seen.
 
     ``own`` is Pe / (Pe + product of the children's weighted probabilities), 1
     at full depth. Levels go from the longest contexts to the empty one, each
-    an aggregation of the one before; a level is at most as large as that.
+    an aggregation of the one before; a level is at most as large as that. On
+    the way back each node takes from its parent what shorter contexts have
+    mixed in: ``one`` is the probability of a one where this node is the longest
+    context that training texts had (a longer one would say 1/2); ``seen`` is 1
+    if zeros came, plus 2 if ones did.
     """
     estimate = f"{_lgamma('(a + 0.5D)')} + {_lgamma('(b + 0.5D)')} - {_lgamma('(a + b + 1D)')} - {math.log(math.pi)}D"
     level = grams.select("n", F.expr("gram & 255").alias("byte"), F.expr("shiftright(gram, 8)").alias("context"), F.explode(F.expr("sequence(0, 7)")).alias("j")).select(
         F.expr("shiftleft(context, 8) | shiftleft(1L, j) | shiftright(byte, 8 - j)").alias("key"), F.expr("shiftright(byte, 7 - j) & 1").alias("bit"), "n",
     ).groupBy("key").agg(F.sum(F.expr("if(bit = 0, n, 0L)")).alias("a"), F.sum(F.expr("if(bit = 1, n, 0L)")).alias("b"))
     level = cut(level.withColumn("weighted", F.expr(estimate)).withColumn("own", F.lit(1.0)))
-    levels = [level.withColumn("depth", F.lit(depth))]
+    shorter = "shiftleft(shiftright(key, 8) & {}L, 8) | (key & 255)".format
+    levels = [level]
     for d in range(depth - 1, -1, -1):
         level = (
-            level.groupBy(F.expr(f"shiftleft(shiftright(key, 8) & {(1 << 8 * d) - 1}L, 8) | (key & 255)").alias("key"))
+            level.groupBy(F.expr(shorter((1 << 8 * d) - 1)).alias("key"))
             .agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("weighted").alias("split"))
             .withColumn("leaf", F.expr(estimate))
             .withColumn("own", F.expr("1D / (1D + exp(least(700D, split - leaf)))"))
             .withColumn("weighted", F.expr(f"greatest(leaf, split) + ln(1D + exp(-abs(leaf - split))) - {math.log(2)}D")))
         level = cut(level.select("key", "a", "b", "weighted", "own"))
-        levels.append(level.withColumn("depth", F.lit(d)))
-    out = levels[0]
-    for other in levels[1:]:
-        out = out.unionByName(other)
-    return out.select("depth", "key", "a", "b", "own")
+        levels.append(level)
+    out, passed = None, None
+    for d, level in enumerate(reversed(levels)):
+        level = level.withColumn("kt", F.expr("(b + 0.5D) / (a + b + 1D)"))
+        if passed is None:
+            level = level.withColumns({"so_far": F.lit(0.0), "left": F.lit(1.0)})
+        else:  # a parent has at most 256 children
+            level = level.withColumn("up", F.expr(shorter((1 << 8 * (d - 1)) - 1))).join(passed, "up")
+        mixed = "kt" if d == depth else "own * kt + (1D - own) * 0.5D"
+        level = level.withColumns({"depth": F.lit(d), "one": F.expr(f"so_far + left * ({mixed})"), "seen": F.expr("cast(if(a > 0, 1, 0) + if(b > 0, 2, 0) as byte)")})
+        level = level if d == depth else cut(level)
+        passed = level.select(F.col("key").alias("up"), F.expr("so_far + left * own * kt").alias("so_far"), F.expr("left * (1D - own)").alias("left"))
+        some = level.select("depth", "key", "a", "b", "own", "one", "seen")
+        out = some if out is None else out.unionByName(some)
+    return out
 
 
 class Model:
     """A tree (or the part of it under some last-two-byte contexts) as sorted arrays."""
 
     def __init__(self, level: Callable[[int], pa.Table], depth: int) -> None:
-        """``level`` reads the nodes of one depth: key, a, b, own. One level at a time is held as read."""
+        """``level`` reads the nodes of one depth: key, one, seen. One level at a time is held as read."""
         self.depth, self.keys, self.ones = depth, [], []
-        before: tuple[np.ndarray, np.ndarray] | None = None
         for d in range(depth + 1):
-            table = level(d).sort_by("key")
-            k, a, b, w = (table.column(c).to_numpy() for c in ("key", "a", "b", "own"))
-            kt = (b + 0.5) / (a + b + 1)
-            if before is None:
-                so_far, left = np.zeros(len(k)), np.ones(len(k))
-            else:
-                parent = np.searchsorted(self.keys[-1], ((k >> 8) & ((1 << 8 * (d - 1)) - 1)) << 8 | (k & 255))
-                so_far, left = before[0][parent], before[1][parent]
-            self.keys.append(k)
-            # the mixture if this is the longest context with the decision: a longer one would say 1/2
-            self.ones.append(so_far + left * (kt if d == depth else w * kt + (1 - w) * 0.5))
-            before = (so_far + left * w * kt, left * (1 - w))
+            table = level(d).select(["key", "one", "seen"])
+            k = table.column("key").to_numpy()
+            if len(k) > 1 and (k[1:] <= k[:-1]).any():  # written in order, but read in whatever
+                table = table.sort_by("key")
+                k = table.column("key").to_numpy()
+            self.keys.append(np.array(k))
+            self.ones.append(np.array(table.column("one").to_numpy()))
             if d == depth:
-                last = (k & 255) >= 128
-                context, decision = k[last] >> 8 << 8, k[last] & 255
-                both = [context[n[last] > 0] | ((decision << 1 | bit) & 255)[n[last] > 0] for bit, n in ((0, a), (1, b))]
-                grams = np.concatenate(both)
-        self.grams = pd.Index(grams) if len(grams) else None
-        self.known = self.bits(grams)
+                seen, last = table.column("seen").to_numpy(), (k & 255) >= 128
+                context, decision, seen = k[last] >> 8 << 8, k[last] & 255, seen[last]
+                self.grams = np.sort(np.concatenate([context[seen & flag > 0] | ((decision << 1 | bit) & 255)[seen & flag > 0] for bit, flag in ((0, 1), (1, 2))]))
+        self.known = np.concatenate([self.bits(self.grams[i : i + PIECE]) for i in range(0, len(self.grams), PIECE)] or [np.empty(0)])
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
         """log10 probability of the last byte of each gram."""
@@ -181,13 +195,12 @@ class Model:
         return total
 
     def score(self, grams: np.ndarray) -> np.ndarray:
-        if self.grams is None:
+        """log10 probability of the last byte of each of the sorted grams."""
+        if not len(self.grams):
             return self.bits(grams)
-        at = self.grams.get_indexer(grams)
-        out = self.known[at]
-        if (new := at < 0).any():
-            some, back = np.unique(grams[new], return_inverse=True)
-            out[new] = self.bits(some)[back]
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        out, new = self.known[at], self.grams[at] != grams
+        out[new] = self.bits(grams[new])
         return out
 
 
@@ -199,9 +212,10 @@ def _load(folder: str, block: int, blocks: int, depth: int) -> Model:
     if key not in _MODELS:  # once for each Python worker
         _MODELS.clear()
         where, base = fs.FileSystem.from_uri(folder)
-        found = ds.dataset(base, filesystem=where, format="parquet")
-        own = pc.field("block").isin([-1, block])
-        _MODELS[key] = Model(lambda d: found.to_table(columns=["key", "a", "b", "own"], filter=own & (pc.field("depth") == d), batch_size=1 << 16), depth)
+        parts = [ds.dataset(f"{base}/block={k}", filesystem=where, format="parquet") for k in (-1, block) if where.get_file_info(f"{base}/block={k}").type]
+        some = pa.schema([("key", pa.int64()), ("one", pa.float64()), ("seen", pa.int8())])
+        read = lambda d: pa.concat_tables([some.empty_table(), *[p.to_table(columns=some.names, filter=pc.field("depth") == d, batch_size=1 << 16, use_threads=False).cast(some) for p in parts]])
+        _MODELS[key] = Model(read, depth)
     return _MODELS[key]
 
 
@@ -218,7 +232,8 @@ def code_lengths(documents: DataFrame, model: DataFrame, folder: str, depth: int
     ship(spark)
     blocks = max(1, -(-model.count() // block_nodes))
     last_two = F.expr("shiftright(key, 8) & 65535")
-    model.withColumn("block", F.when(F.col("depth") < 2, F.lit(-1)).otherwise(F.pmod(F.xxhash64(last_two), F.lit(blocks)).cast("int"))).write.parquet(folder)
+    placed = model.select("depth", "key", "one", "seen", F.when(F.col("depth") < 2, F.lit(-1)).otherwise(F.pmod(F.xxhash64(last_two), F.lit(blocks)).cast("int")).alias("block"))
+    placed.repartition("block").sortWithinPartitions("block", "depth", "key").write.partitionBy("block").parquet(folder)
     docs = only(documents, "doc_id", "text").withColumn("text_hash", F.xxhash64("text"))
     owners = np.array([r.b for r in spark.range(65536).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("b")).collect()] if blocks > 1 else [0] * 65536, np.int32)
 
@@ -226,13 +241,20 @@ def code_lengths(documents: DataFrame, model: DataFrame, folder: str, depth: int
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             made = _load(folder, block, blocks, depth)
             for batch in batches:
-                score, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64)
+                score, n = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
                 for owner, gram in pieces(batch.column(1), depth):
                     if blocks > 1:
                         mine = owners[(gram >> 8) & 65535] == block
                         owner, gram = owner[mine], gram[mine]
-                    score += np.bincount(owner, made.score(gram), batch.num_rows)
-                    n += np.bincount(owner, minlength=batch.num_rows)
+                    if not len(gram):
+                        continue
+                    code, distinct = pd.factorize(gram)
+                    order = np.argsort(distinct)
+                    units = np.empty(len(distinct), np.int64)
+                    units[order] = np.rint(made.score(distinct[order]) / UNIT)
+                    heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+                    score[owner[heads]] += np.add.reduceat(units[code], heads)
+                    n[owner[heads]] += np.diff(np.append(heads, len(owner)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(score), pa.array(n)], names=["doc_id", "text_hash", "score", "n_bytes"])
 
         return run
@@ -240,23 +262,19 @@ def code_lengths(documents: DataFrame, model: DataFrame, folder: str, depth: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for block in range(blocks):
-        part = docs.mapInArrow(scorer(block), f"doc_id {kind}, text_hash long, score double, n_bytes long")
+        part = docs.mapInArrow(scorer(block), f"doc_id {kind}, text_hash long, score long, n_bytes long")
         out = part if out is None else out.unionByName(part)
-    if blocks == 1:
-        return out
-    return out.groupBy("doc_id", "text_hash").agg(
-        F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("rows"),
-    ).withColumn("times", F.expr(f"rows div {blocks}")).select(
-        "doc_id", "text_hash", (F.col("score") / F.col("times")).alias("score"), F.expr("n_bytes div times").alias("n_bytes"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_")).drop("_")
+    if blocks > 1:
+        out = out.groupBy("doc_id", "text_hash").agg(F.sum("score").alias("score"), F.sum("n_bytes").alias("n_bytes"), F.count(F.lit(1)).alias("rows")).withColumn(
+            "times", F.expr(f"rows div {blocks}")).select(
+            "doc_id", "text_hash", F.expr("score div times").alias("score"), F.expr("n_bytes div times").alias("n_bytes"), F.explode(F.array_repeat(F.lit(0), F.col("times").cast("int"))).alias("_")).drop("_")
+    return out.withColumn("score", F.col("score") * UNIT)
 
 
 # ---------------------------------------------------------------- unigram base
 
-PARTS = "bucket int, chunk string, hashes binary, counts binary, docs binary, text_hashes binary, lengths binary, trains binary, ids binary"
-
-
-def _chunk(rows: list[tuple], vocabulary: dict[bytes, int], name: str, bits: int) -> Iterator[dict]:
-    """A chunk's distinct words by hash bucket, and which of them each of its documents has."""
+def _chunk(rows: list[tuple], vocabulary: dict[bytes, int], name: str, schema: pa.Schema) -> pa.RecordBatch:
+    """A chunk as one row: its distinct words' hashes in order, their training counts, and which of them each of its documents has."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in vocabulary), np.uint64, len(vocabulary))
     order = np.argsort(hashes)
     rank = np.empty(len(order), np.int32)
@@ -265,110 +283,157 @@ def _chunk(rows: list[tuple], vocabulary: dict[bytes, int], name: str, bits: int
     ids = [rank[seen] for *_, seen in rows]
     trained = [i for i, (_, _, t, _) in zip(ids, rows, strict=True) if t]
     counts = np.bincount(np.concatenate(trained) if trained else np.empty(0, np.int32), minlength=len(hashes)).astype(np.uint32)
-    bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
-    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
-    for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True):
-        yield {"bucket": int(bucket[a]), "chunk": name, "hashes": hashes[a:b].tobytes(), "counts": counts[a:b].tobytes()}
-    yield {
-        "bucket": -1, "chunk": name, "text_hashes": np.array([h or 0 for _, h, _, _ in rows], np.int64).tobytes(),
-        "docs": "\n".join("" if d is None else str(d) for d, *_ in rows).encode(),
-        "lengths": np.array([len(i) for i in ids], np.int64).tobytes(), "trains": np.array([t for _, _, t, _ in rows], np.uint8).tobytes(),
-        "ids": (np.concatenate(ids) if ids else np.empty(0)).astype(np.uint32).tobytes(),
+    made = {
+        "chunk": name, "hashes": hashes.tobytes(), "counts": counts.tobytes(), "least": hashes[:SKETCH].view(np.int64).tolist(), "entries": len(hashes),
+        "docs": [d for d, *_ in rows], "text_hashes": [h for _, h, _, _ in rows], "trains": [t for _, _, t, _ in rows],
+        "lengths": np.array([len(i) for i in ids], np.int64).tobytes(), "ids": (np.concatenate(ids) if ids else np.empty(0)).astype(np.uint32).tobytes(),
     }
+    return pa.RecordBatch.from_arrays([pa.array([made[f.name]], f.type) for f in schema], schema=schema)
+
+
+def _sliced(bits: int, salts: int):
+    """Each chunk's words by hash bucket: bucket, salt, chunk, hashes, counts."""
+    schema = pa.schema([("bucket", pa.int32()), ("salt", pa.int32()), ("chunk", pa.string()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, h, c in zip(*batch.columns, strict=True):
+                hashes, counts = np.frombuffer(h.as_buffer(), np.uint64), np.frombuffer(c.as_buffer(), np.uint32)
+                bucket = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(bucket) else np.empty(0, np.int64)
+                salt = xxhash.xxh32_intdigest(chunk.as_py()) % salts
+                rows = [(int(bucket[a]), salt, chunk.as_py(), hashes[a:b].tobytes(), counts[a:b].tobytes()) for a, b in zip(edges, [*edges[1:], len(bucket)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
+
+    return run
 
 
-def unigram(documents: DataFrame, folder: str, train: str = "train") -> DataFrame:
-    """doc_id (as string), text_hash, n_tokens, n_known, train_tokens, base_score, train of every distinct row.
+def _added(hashes: pa.ChunkedArray, counts: pa.ChunkedArray, width: type) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes of several packed arrays, and the sums of their counts."""
+    words, back = np.unique(np.concatenate([np.frombuffer(h.as_buffer(), np.uint64) for h in hashes]), return_inverse=True)
+    return words, np.bincount(back, np.concatenate([np.frombuffer(c.as_buffer(), width) for c in counts]), len(words)).astype(np.int64)
+
+
+def unigram(documents: DataFrame, folder: str, train: str = "train", *, bucket_words: int = BUCKET_WORDS, group_entries: int = GROUP_ENTRIES) -> DataFrame:
+    """doc_id, text_hash, n_tokens, n_known, train_tokens, base_score, train of every distinct row.
 
     Words are counted by chunks of about a million tokens: a chunk sends each
     distinct word's hash and training count once, packed by hash bucket; a
     bucket adds up over chunks and sends the totals back; a chunk then sums
     logarithms for its documents from totals and word numbers it kept. So a
     frequent word costs one entry a chunk, and no (document, word) pair is ever
-    shuffled. Words are told apart by 64-bit hashes.
+    shuffled. Buckets are as many as the distinct words need (estimated from each
+    chunk's least hashes), and a bucket's chunks are split by a salt where they
+    have more entries than one task should hold; sums of the parts are then
+    added. Words are told apart by 64-bit hashes. Ids keep their type.
     """
     spark = documents.sparkSession
     ship(spark)
-    docs = only(documents, "doc_id", "text", train).select(F.col("doc_id").cast("string").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col(train).cast("int").alias("train"), "text")
-    bits = min(16, math.ceil(math.log2(1 + docs.count() / 8192)))  # about one bucket a chunk
+    docs = only(documents, "doc_id", "text", train).select("doc_id", F.xxhash64("text").alias("text_hash"), F.col(train).cast("boolean").alias("train"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    made = f"chunk string, hashes binary, counts binary, least array<long>, entries long, docs array<{kind}>, text_hashes array<long>, trains array<boolean>, lengths binary, ids binary"
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, vocabulary, tokens, k = [], {}, 0, 0
-        schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.string()), *[(c.split()[0], pa.binary()) for c in PARTS.split(", ")[2:]]])
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            yield pa.RecordBatch.from_pylist(list(_chunk(rows, vocabulary, f"{TaskContext.get().partitionId()}.{k}", bits)), schema=schema)
-
+        schema = None
         for batch in batches:
+            if schema is None:
+                lists = {"docs": pa.list_(batch.schema.field(0).type), "least": pa.list_(pa.int64()), "text_hashes": pa.list_(pa.int64()), "trains": pa.list_(pa.bool_()), "chunk": pa.string(), "entries": pa.int64()}
+                schema = pa.schema([(n, lists.get(n, pa.binary())) for n in ("chunk", "hashes", "counts", "least", "entries", "docs", "text_hashes", "trains", "lengths", "ids")])
             for d, h, t, text in zip(*batch.columns, strict=True):
                 found = (text.as_py() or "").encode().lower().split()
                 seen = np.fromiter((vocabulary.setdefault(w, len(vocabulary)) for w in found), np.int32, len(found))
                 rows.append((d.as_py(), h.as_py(), t.as_py(), seen))
-                tokens += len(found)
+                tokens += len(found) + 1
                 if tokens >= CHUNK_TOKENS:
-                    yield from flush()
+                    yield _chunk(rows, vocabulary, f"{TaskContext.get().partitionId()}.{k}", schema)
                     rows, vocabulary, tokens, k = [], {}, 0, k + 1
         if rows:
-            yield from flush()
+            yield _chunk(rows, vocabulary, f"{TaskContext.get().partitionId()}.{k}", schema)
 
-    docs.mapInArrow(count, PARTS).write.option("compression", "zstd").parquet(f"{folder}/parts")
+    docs.mapInArrow(count, made).write.option("compression", "zstd").option("parquet.block.row.count.limit", 16).parquet(f"{folder}/parts")
     parts = spark.read.parquet(f"{folder}/parts")
-
-    def add(key, group: pd.DataFrame) -> pd.DataFrame:
-        hashes = np.concatenate([np.frombuffer(h, np.uint64) for h in group["hashes"]])
-        counts = np.concatenate([np.frombuffer(c, np.uint32) for c in group["counts"]])
-        words, back = np.unique(hashes, return_inverse=True)
-        totals = np.bincount(back, counts, len(words)).astype(np.int64)
-        own = np.split(totals[back], np.cumsum([len(h) // 8 for h in group["hashes"]])[:-1])
-        out = pd.DataFrame({"bucket": key[0], "chunk": group["chunk"], "totals": [o.tobytes() for o in own], "v": 0, "n": 0})
-        out.loc[out.index[0], ["v", "n"]] = [int((totals > 0).sum()), int(totals.sum())]
-        return out
-
-    parts.where("bucket >= 0").select("bucket", "chunk", "hashes", "counts").groupBy("bucket").applyInPandas(
-        add, "bucket int, chunk string, totals binary, v long, n long").write.option("compression", "zstd").parquet(f"{folder}/totals")
+    ends, entries = parts.agg(F.coalesce(F.sum(F.size(F.filter("trains", lambda t: t))), F.lit(0)), F.coalesce(F.sum("entries"), F.lit(0))).first()
+    least = [r.h & (1 << 64) - 1 for r in parts.select(F.explode("least").alias("h")).distinct().orderBy(F.expr("h < 0"), "h").limit(SKETCH).collect()]
+    distinct = len(least) if len(least) < SKETCH else (SKETCH - 1) * (1 << 64) / (max(least) + 1)
+    bits = max(0, math.ceil(math.log2(distinct / bucket_words))) if distinct else 0
+    salts = max(1, math.ceil(entries / 2**bits / group_entries))
+    sent = parts.select("chunk", "hashes", "counts").mapInArrow(_sliced(bits, salts), "bucket int, salt int, chunk string, hashes binary, counts binary")
+    back_kind = "chunk string, bucket int, totals binary, v long, n long"
+
+    def answer(hashes: pa.ChunkedArray, chunk: pa.ChunkedArray, bucket: int, words: np.ndarray, totals: np.ndarray, whole: bool) -> pa.Table:
+        own = [totals[np.searchsorted(words, np.frombuffer(h.as_buffer(), np.uint64))].tobytes() for h in hashes]
+        v, n = (int((totals > 0).sum()), int(totals.sum())) if whole else (0, 0)  # told once a bucket
+        once = [1] + [0] * (len(own) - 1)
+        return pa.table({"chunk": chunk, "bucket": pa.array([bucket] * len(own), pa.int32()), "totals": pa.array(own, pa.binary()), "v": pa.array([v * x for x in once], pa.int64()), "n": pa.array([n * x for x in once], pa.int64())})
+
+    if salts == 1:
+        def add(key, group):
+            return answer(group["hashes"], group["chunk"], key[0].as_py(), *_added(group["hashes"], group["counts"], np.uint32), True)
+
+        told = sent.groupBy("bucket").applyInArrow(add, back_kind)
+    else:
+        def part(key, group):
+            words, totals = _added(group["hashes"], group["counts"], np.uint32)
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "sums": pa.array([totals.tobytes()], pa.binary())})
+
+        def whole(key, group):
+            words, totals = _added(group["words"], group["sums"], np.int64)
+            return pa.table({"bucket": pa.array([key[0].as_py()], pa.int32()), "words": pa.array([words.tobytes()], pa.binary()), "sums": pa.array([totals.tobytes()], pa.binary())})
+
+        packed = "bucket int, words binary, sums binary"
+        held = cut(sent.groupBy("bucket", "salt").applyInArrow(part, packed).groupBy("bucket").applyInArrow(whole, packed))
+        held = held.select("*", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+
+        def tell(key, asked, known):
+            words, totals = np.frombuffer(known["words"][0].as_buffer(), np.uint64), np.frombuffer(known["sums"][0].as_buffer(), np.int64)
+            if not asked.num_rows:  # a salt without chunks in this bucket still tells the sums, if it's the first
+                asked = pa.table({"hashes": pa.array([b""], pa.binary()), "chunk": pa.array([None], pa.string())})
+            return answer(asked["hashes"], asked["chunk"], key[0].as_py(), words, totals, key[1].as_py() == 0)
+
+        told = sent.groupBy("bucket", "salt").cogroup(held.groupBy("bucket", "salt")).applyInArrow(tell, back_kind)
+    told.write.option("compression", "zstd").option("parquet.block.row.count.limit", 64).parquet(f"{folder}/totals")
     totals = spark.read.parquet(f"{folder}/totals")
     v, n = totals.agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    ends = docs.select("train").where("train = 1").count()
     v, n = v + (ends > 0), n + ends
 
-    def sums(key, group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("bucket")
-        own = group[group["bucket"] < 0].iloc[0]
-        known = [np.frombuffer(t, np.int64) for t in group[group["bucket"] >= 0]["totals"]]
+    def sums(key, group):
+        group = group.sort_by("bucket")  # the chunk's own row has bucket -1
+        own = {c: group[c][0] for c in ("docs", "text_hashes", "trains", "lengths", "ids")}
+        known = [np.frombuffer(t.as_buffer(), np.int64) for t in group["totals"][1:]]
         c = np.concatenate(known) if known else np.empty(0, np.int64)
-        ids, lengths = np.frombuffer(own["ids"], np.uint32), np.frombuffer(own["lengths"], np.int64)
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        tokens = lengths + 1
-        return pd.DataFrame({
-            "doc_id": [d or None for d in own["docs"].decode().split("\n")], "text_hash": np.frombuffer(own["text_hashes"], np.int64),
-            "n_tokens": tokens, "n_known": np.bincount(row, c[ids] > 0, len(lengths)).astype(np.int64) + int(ends > 0), "train_tokens": n,
-            "base_score": np.bincount(row, np.log10(c + 1.0)[ids], len(lengths)) + math.log10(ends + 1) - tokens * math.log10(n + v + 1),
-            "train": np.frombuffer(own["trains"], np.uint8).astype(bool),
+        ids, lengths = np.frombuffer(own["ids"].as_buffer(), np.uint32), np.frombuffer(own["lengths"].as_buffer(), np.int64)
+        row, tokens = np.repeat(np.arange(len(lengths)), lengths), lengths + 1
+        return pa.table({
+            "doc_id": own["docs"].values, "text_hash": own["text_hashes"].values, "n_tokens": tokens,
+            "n_known": np.bincount(row, c[ids] > 0, len(lengths)).astype(np.int64) + int(ends > 0), "train_tokens": np.full(len(tokens), n, np.int64),
+            "base_score": np.bincount(row, np.log10(c + 1.0)[ids], len(lengths)) + math.log10(ends + 1) - tokens * math.log10(n + v + 1), "train": own["trains"].values,
         })
 
-    back = parts.where("bucket < 0").select("chunk", "bucket", F.lit(None).cast("binary").alias("totals"), "docs", "text_hashes", "lengths", "trains", "ids").unionByName(
-        totals.select("chunk", "bucket", "totals"), allowMissingColumns=True)
-    return back.groupBy("chunk").applyInPandas(
-        sums, "doc_id string, text_hash long, n_tokens long, n_known long, train_tokens long, base_score double, train boolean").dropDuplicates(["doc_id", "text_hash"])
+    back = parts.select("chunk", F.lit(-1).alias("bucket"), F.lit(None).cast("binary").alias("totals"), "docs", "text_hashes", "trains", "lengths", "ids").unionByName(
+        totals.where("chunk is not null").select("chunk", "bucket", "totals"), allowMissingColumns=True)
+    return back.groupBy("chunk").applyInArrow(
+        sums, f"doc_id {kind}, text_hash long, n_tokens long, n_known long, train_tokens long, base_score double, train boolean").dropDuplicates(["doc_id", "text_hash"])
 
 
 def lm_scores(documents: DataFrame, *, modulus: int = 7, held: int = 2, depth: int = DEPTH, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every document.
 
     Both models learn from the documents outside the held-out fold. Null text is
-    empty: one end to code. A null id is the empty id to the fold. Repeated rows
-    are learnt from and scored each. Without training documents every bit costs
-    one bit. An empty table gives no rows.
+    empty: one end to code. A null id is the empty id to the fold, and another
+    id in the result. Ids may be of any type and hold any characters. Repeated
+    rows are learnt from and scored each. Without training documents every bit
+    costs one bit. An empty table gives no rows.
     """
     spark = documents.sparkSession
     folder = scratch(spark, "lm")
-    docs = only(documents, "doc_id", "text").withColumn("train", fold(F.col("doc_id"), modulus) != held)
-    model = tree(cut(gram_counts(docs.where("train"), depth)), depth)
-    base = unigram(docs, f"{folder}/unigram")
-    coded = code_lengths(documents, model, f"{folder}/tree", depth, block_nodes)
-    base = base.select(F.col("doc_id").alias("base_id"), F.col("text_hash").alias("base_hash"), "n_tokens", "n_known", "train_tokens", "base_score", "train")
     try:
-        return cut(coded.join(base, F.col("doc_id").cast("string").eqNullSafe(F.col("base_id")) & (F.col("text_hash") == F.col("base_hash"))).select(
+        docs = only(documents, "doc_id", "text").withColumn("train", fold(F.col("doc_id"), modulus) != held)
+        model = cut(tree(cut(gram_counts(docs.where("train"), depth)), depth))
+        base = unigram(docs, f"{folder}/unigram")
+        coded = code_lengths(documents, model, f"{folder}/tree", depth, block_nodes)
+        base = base.select(F.col("doc_id").alias("base_id"), F.col("text_hash").alias("base_hash"), "n_tokens", "n_known", "train_tokens", "base_score", "train")
+        return cut(coded.join(base, F.col("doc_id").eqNullSafe(F.col("base_id")) & (F.col("text_hash") == F.col("base_hash"))).select(
             "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes",
             (-F.col("score") * math.log2(10) / F.col("n_bytes")).alias("bits_per_byte")))
     finally:

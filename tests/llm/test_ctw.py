@@ -140,3 +140,31 @@ def test_nothing_to_learn_from(spark):
     r = ctw.lm_scores(spark.createDataFrame([(held, "ab c")], "doc_id long, text string")).first()
     assert (r.held_out, r.train_tokens, r.n_known, r.n_tokens) == (True, 0, 0, 3)
     assert abs(r.base_score) < 1e-12 and abs(r.score + 5 * 8 * math.log10(2)) < 1e-9
+
+
+def test_ids_of_any_kind(spark, plain_rows):
+    rows = [("", "one two"), ("a\nb", "one two three"), (None, "two"), ("x", None), ("", ""), ("x", "one"), ("long", plain_rows[-5][1]), ("x", "one")]
+    got = ctw.lm_scores(spark.createDataFrame(rows, "doc_id string, text string"), depth=2).collect()
+    assert collections.Counter((r.doc_id, r.n_tokens) for r in got) == collections.Counter((d, len((t or "").split()) + 1) for d, t in rows)
+    for r in got:
+        assert r.held_out == (zlib.crc32((r.doc_id or "").encode()) % 7 == 2)
+
+
+def test_long_document_end_to_end(documents, plain_rows):
+    got = [r for r in ctw.lm_scores(documents, depth=2).collect() if r.doc_id == 203]
+    text = next(t for d, t, *_ in plain_rows if d == 203)
+    assert len(got) == 1 and (got[0].n_tokens, got[0].n_bytes) == (len(text.split()) + 1, len(text.encode()) + 1)
+
+
+def test_buckets_and_salts_give_the_same(documents, tmp_path, monkeypatch):
+    docs = documents.withColumn("train", documents["n_chars"].isNotNull())
+    plain = sorted(map(str, ctw.unigram(docs, f"file://{tmp_path}/a").collect()))
+    monkeypatch.setattr(ctw, "CHUNK_TOKENS", 500)
+    for n, sizes in enumerate([{"bucket_words": 20}, {"bucket_words": 20, "group_entries": 100}, {"group_entries": 300}]):
+        assert sorted(map(str, ctw.unigram(docs, f"file://{tmp_path}/b{n}", **sizes).collect())) == plain
+
+
+def test_scores_do_not_depend_on_the_layout(documents):
+    docs = documents.where("coalesce(doc_id, 0) <> 203")
+    a, b = (sorted(((str(r.doc_id), r.base_score, round(r.score, 9)) for r in ctw.lm_scores(d, depth=2).collect())) for d in (docs, docs.repartition(7)))
+    assert a == b

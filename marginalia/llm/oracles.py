@@ -51,7 +51,7 @@ SELECT doc_id, CAST(size AS BIGINT) AS size, text_crc32, 'bytes' AS law, shard,
 
 
 def quality_sql() -> str:
-    """Counts, pools, four concentration steps and the verdict; one CTE a step."""
+    """Counts, pools, concentration steps (those after the subset stays change nothing) and the verdict; one CTE a step."""
     p, scale = quality.P, quality.SCALE
     axes, pairs = range(p), [(i, j) for i in range(p) for j in range(i + 1)]
     floor = [scale * s for s in quality.STATISTICS.values()]
@@ -67,24 +67,27 @@ c AS (SELECT w.doc_id, lang, source, len(w) AS n_words, CAST(length(array_to_str
   coalesce(r.n, 0) AS n_repeat_words, {count('[^' + chr(92) + 'p{Lu}]+')} AS n_capitals, {count('[^.,;:!?]+')} AS n_stops FROM w LEFT JOIN r USING (doc_id)),
 v AS (SELECT *, (n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > {quality.MAX_REPEAT_PERCENT} * n_words) AS base_failed, {', '.join(f'CAST(round({scale} * ({x})) AS BIGINT) AS x{i}' for i, x in enumerate(xs))} FROM c),
 n AS (SELECT lang, source, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
-pools AS (SELECT lang, source, CASE WHEN n >= {quality.MIN_POOL} THEN '0|' || coalesce(lang, '-') || '|' || coalesce(source, '-')
-  WHEN sum(CASE WHEN n < {quality.MIN_POOL} THEN n END) OVER (PARTITION BY lang) >= {quality.MIN_POOL} THEN '1|' || coalesce(lang, '-') ELSE '2' END AS pool FROM n),
-rated AS (SELECT pool, {', '.join(f'x{i}' for i in axes)} FROM v JOIN pools ON v.lang IS NOT DISTINCT FROM pools.lang AND v.source IS NOT DISTINCT FROM pools.source WHERE NOT base_failed),
-e0 AS (SELECT pool, {', '.join(f'CAST(quantile_disc(x{i}, 0.5) AS DOUBLE) AS m{i}' for i in axes)}, {', '.join(f'{1 / floor[i] if i == j else 0.0}::DOUBLE AS k{i}{j}' for i, j in pairs)} FROM rated GROUP BY pool)"""]
-    for step in range(1, quality.STEPS + 1):
+named AS (SELECT lang, source, '0|' || coalesce(lang, '-') || '|' || coalesce(source, '-') AS own, '1|' || coalesce(lang, '-') AS by_lang, n, sum(n) OVER (PARTITION BY lang) AS in_lang FROM n),
+pools AS (SELECT *, CASE WHEN n >= {quality.MIN_POOL} THEN own WHEN in_lang >= {quality.MIN_POOL} THEN by_lang ELSE '2' END AS pool FROM named),
+used AS (SELECT DISTINCT pool FROM pools),
+rated AS MATERIALIZED (SELECT u.pool, {', '.join(f'x{i}' for i in axes)} FROM v JOIN pools p ON v.lang IS NOT DISTINCT FROM p.lang AND v.source IS NOT DISTINCT FROM p.source JOIN used u ON u.pool IN (p.own, p.by_lang, '2') WHERE NOT base_failed)"""]
+    wide = [[f"{f!r}::DOUBLE" for f in floor], [f"greatest({f!r}::DOUBLE, (quantile_disc(x{i}, 0.75) - quantile_disc(x{i}, 0.25)) / 1.349::DOUBLE)" for i, f in enumerate(floor)]]
+    for start in (0, 1):
         parts.append(f"""
-a{step} AS (SELECT rated.*, CAST(floor(64 * log2({dist} + 1e-9)) AS INT) AS bin FROM rated JOIN e{step - 1} USING (pool)),
-u{step} AS (SELECT pool, min(bin) AS last FROM (SELECT pool, bin, sum(count(*)) OVER (PARTITION BY pool ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY pool) AS whole FROM a{step} GROUP BY pool, bin)
-  WHERE upto >= ceil({quality.SUBSET} * whole) GROUP BY pool),
-s{step} AS (SELECT pool, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'CAST(sum(x{i}) AS DOUBLE) AS s{i}' for i in axes)}, {', '.join(f'CAST(sum(x{i} * x{j}) AS DOUBLE) AS s{i}{j}' for i, j in pairs)} FROM a{step} JOIN u{step} USING (pool) WHERE bin <= last GROUP BY pool),
-v{step}_0 AS (SELECT pool, {', '.join(f's{i} / n AS m{i}' for i in axes)}, {', '.join(f'(s{i}{j} - s{i} * s{j} / n) / n + {floor[i] ** 2 if i == j else 0.0}::DOUBLE AS c{i}{j}' for i, j in pairs)} FROM s{step})""")
+e{start}_0 AS MATERIALIZED (SELECT pool, {', '.join(f'CAST(quantile_disc(x{i}, 0.5) AS DOUBLE) AS m{i}' for i in axes)}, {', '.join(f'1::DOUBLE / {wide[start][i]} AS k{i}{j}' if i == j else f'0::DOUBLE AS k{i}{j}' for i, j in pairs)} FROM rated GROUP BY pool)""")
+
+    def shape(name: str, rows: str) -> None:
+        """The estimate of a pool's rows, in small steps of scalar terms."""
+        parts.append(f"""
+s{name} AS (SELECT pool, CAST(count(*) AS DOUBLE) AS n, {', '.join(f'CAST(sum(x{i}) AS DOUBLE) AS s{i}' for i in axes)}, {', '.join(f'CAST(sum(x{i} * x{j}) AS DOUBLE) AS s{i}{j}' for i, j in pairs)} FROM {rows} GROUP BY pool),
+v{name}_0 AS (SELECT pool, {', '.join(f's{i} / n AS m{i}' for i in axes)}, {', '.join(f'(s{i}{j} - s{i} * s{j} / n) / n + {floor[i] ** 2 if i == j else 0.0}::DOUBLE AS c{i}{j}' for i, j in pairs)} FROM s{name})""")
         total = lambda terms: "(" + " + ".join(terms or ["0::DOUBLE"]) + ")"
         at = 0
 
-        def more(made: list[str], step=step) -> None:
+        def more(made: list[str]) -> None:
             nonlocal at
             if made:
-                parts.append(f"\nv{step}_{at + 1} AS (SELECT *, {', '.join(made)} FROM v{step}_{at})")
+                parts.append(f"\nv{name}_{at + 1} AS (SELECT *, {', '.join(made)} FROM v{name}_{at})")
                 at += 1
 
         for j in axes:
@@ -92,7 +95,24 @@ v{step}_0 AS (SELECT pool, {', '.join(f's{i} / n AS m{i}' for i in axes)}, {', '
             more([f"(c{i}{j} - {total([f'l{i}{k} * l{j}{k}' for k in range(j)])}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, p)])
         for d in axes:
             more([f"1 / l{j}{j} AS k{j}{j}" if d == 0 else f"-{total([f'l{j + d}{k} * k{k}{j}' for k in range(j, j + d)])} / l{j + d}{j + d} AS k{j + d}{j}" for j in range(p - d)])
-        parts.append(f"\ne{step} AS (SELECT * FROM v{step}_{at})")
+        parts.append(f"\ne{name} AS MATERIALIZED (SELECT *, {' * '.join(f'l{j}{j}' for j in axes)} AS det FROM v{name}_{at})")
+
+    def step(before: str, name: str) -> None:
+        parts.append(f"""
+a{name} AS MATERIALIZED (SELECT rated.*, CAST(floor(64 * log2({dist} + 1e-9)) AS INT) AS bin FROM rated JOIN {before} USING (pool)),
+u{name} AS (SELECT pool, min(bin) AS last FROM (SELECT pool, bin, sum(count(*)) OVER (PARTITION BY pool ORDER BY bin) AS upto, sum(count(*)) OVER (PARTITION BY pool) AS whole FROM a{name} GROUP BY pool, bin)
+  WHERE upto >= ceil({quality.SUBSET} * whole) GROUP BY pool)""")
+        shape(name, f"a{name} JOIN u{name} USING (pool) WHERE bin <= last")
+
+    shape("2_0", "rated")
+    for start in range(quality.STARTS):
+        for k in range(quality.TRIAL):
+            step(f"e{start}_{k}", f"{start}_{k + 1}")
+    held = ["pool", *(f"m{i}" for i in axes), *(f"k{i}{j}" for i, j in pairs), "det"]
+    tried = " UNION ALL ".join(f"SELECT {', '.join(held)}, {start} AS start FROM e{start}_{quality.TRIAL}" for start in range(quality.STARTS))
+    parts.append(f"\ne{quality.TRIAL} AS MATERIALIZED (SELECT * FROM ({tried}) QUALIFY row_number() OVER (PARTITION BY pool ORDER BY det, start) = 1)")
+    for k in range(quality.TRIAL, quality.STEPS):
+        step(f"e{k}", f"{k + 1}")
     consistent = quality.SUBSET / quality.chi2_cdf(quality.chi2_at(1 - quality.SUBSET, p), p + 2)
     parts.append(f"""
 enough AS (SELECT pool FROM rated GROUP BY pool HAVING count(*) >= {quality.MIN_POOL}),

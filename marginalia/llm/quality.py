@@ -11,19 +11,21 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import filled, let, only, words
-from marginalia.session import cut
+from marginalia.llm.common import beside, filled, let, only, words
+from marginalia.session import cut, scratch
 
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Share of a pool that the determinant is minimised over, and the number of concentration steps.
+#: Share of a pool that the determinant is minimised over.
 SUBSET = 0.75
-STEPS = 4
+#: Concentration steps from every start, after which the one with the least determinant goes on until its subset stays, and most steps in all.
+TRIAL, STEPS = 2, 12
+STARTS = 3
 #: A language and source with fewer documents are judged by all of the language, then by the whole corpus.
 MIN_POOL = 200
-#: Names of the transformed statistics and the least standard deviation each is given, so that a
-#: statistic that is the same in almost all documents doesn't make the determinant vanish.
+#: Names of the transformed statistics and the standard deviation each is given on top of its own: the estimate is a
+#: regularised one, so that a statistic that is the same in almost all documents doesn't make the determinant vanish.
 STATISTICS = {"word_length": 0.15, "symbols": 0.15, "capitals": 0.2, "stops": 0.2, "same_lines": 0.1}
 #: Probability of the chi-square distribution beyond which a document is rejected.
 TAIL = 1e-12
@@ -157,22 +159,26 @@ def _total(terms: list[str]) -> str:
 
 
 def _shape(df: DataFrame) -> DataFrame:
-    """pool, centre m0.., and the inverse Cholesky factor k00, k10, .. of its covariance (with the least deviations).
+    """pool, start, centre m0.., the inverse Cholesky factor k00, k10, .. of its (regularised) covariance, and det, the root of its determinant.
 
     Written as SQL text: a few hundred scalar terms would be slow to build one call at a time.
     """
     axes = range(P)
     x = [f"cast(x{i} as double)" for i in axes]
-    sums = df.groupBy("pool").agg(F.expr("count(1) as n"), *[F.expr(f"sum({x[i]}) as s{i}") for i in axes], *[F.expr(f"sum({x[i]} * {x[j]}) as s{i}{j}") for i, j in _PAIRS])
+    sums = df.groupBy("pool", "start").agg(F.expr("count(1) as n"), *[F.expr(f"sum({x[i]}) as s{i}") for i in axes], *[F.expr(f"sum({x[i]} * {x[j]}) as s{i}{j}") for i, j in _PAIRS])
     floor = [SCALE * s for s in STATISTICS.values()]
-    out = sums.selectExpr("pool", *[f"s{i} / n as m{i}" for i in axes],
+    out = sums.selectExpr("pool", "start", *[f"s{i} / n as m{i}" for i in axes],
                           *[f"(s{i}{j} - s{i} * s{j} / n) / n + {floor[i] ** 2 if i == j else 0.0}D as c{i}{j}" for i, j in _PAIRS])
     for j in axes:
         out = out.selectExpr("*", f"sqrt(c{j}{j} - {_total([f'l{j}{k} * l{j}{k}' for k in range(j)])}) as l{j}{j}")
         out = out.selectExpr("*", *[f"(c{i}{j} - {_total([f'l{i}{k} * l{j}{k}' for k in range(j)])}) / l{j}{j} as l{i}{j}" for i in range(j + 1, P)])
     for d in axes:  # the inverse by diagonals
         out = out.selectExpr("*", *[f"1 / l{j}{j} as k{j}{j}" if d == 0 else f"-{_total([f'l{j + d}{k} * k{k}{j}' for k in range(j, j + d)])} / l{j + d}{j + d} as k{j + d}{j}" for j in range(P - d)])
-    return out.select("pool", *[f"m{i}" for i in axes], *[f"k{i}{j}" for i, j in _PAIRS])
+    return out.select(*SHAPE[:-1], F.expr(" * ".join(f"l{j}{j}" for j in axes)).alias("det"))
+
+
+#: Columns of an estimate.
+SHAPE = ("pool", "start", *(f"m{i}" for i in range(P)), *(f"k{i}{j}" for i, j in _PAIRS), "det")
 
 
 def _distance() -> Column:
@@ -180,19 +186,24 @@ def _distance() -> Column:
     return F.expr(_total([f"{y} * {y}" for y in ys]))
 
 
-def _nearest(df: DataFrame, subset: float = SUBSET) -> DataFrame:
-    """The rows of each pool up to the bin of d2 in which its ``subset`` quantile lies.
+def _concentrated(rated: DataFrame, shape: DataFrame, subset: float = SUBSET) -> DataFrame:
+    """One step for every pool and start: the estimate from the rows up to the bin of d2 in which the ``subset`` quantile lies.
 
     The quantile is read off counts of 1/64 octaves of d2: at most a few
-    thousand bins a pool, whatever its rows.
+    thousand bins a pool, whatever its rows. Estimates and bins are broadcast
+    if there are few pools, so the vectors stay where they are.
     """
-    binned = df.withColumn("bin", F.floor(64 * F.log2(F.col("d2") + 1e-9)).cast("int"))
-    run = Window.partitionBy("pool").orderBy("bin")
+    salt = F.struct(*[f"x{i}" for i in range(P)])
+    far = beside(rated, shape, [("pool", "__pool")], salt, limit=BROADCAST_POOLS).select(
+        "pool", "start", *[f"x{i}" for i in range(P)], F.floor(64 * F.log2(_distance() + 1e-9)).cast("int").alias("bin"))
+    run = Window.partitionBy("pool", "start").orderBy("bin")
     cuts = (
-        binned.groupBy("pool", "bin").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("pool")))
-        .where(F.col("upto") >= F.ceil(subset * F.col("all"))).groupBy("pool").agg(F.min("bin").alias("last")))
-    return binned.join(cuts, "pool").where(F.col("bin") <= F.col("last"))
+        far.groupBy("pool", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy("pool", "start")))
+        .where(F.col("upto") >= F.ceil(subset * F.col("all"))).groupBy("pool", "start").agg(F.min("bin").alias("last")))
+    cuts = cut(cuts.select(F.col("pool").alias("__pool"), F.col("start").alias("__start"), "last"))
+    near = beside(far, cuts, [("pool", "__pool"), ("start", "__start")], salt, limit=BROADCAST_POOLS).where("bin <= last")
+    return cut(_shape(near))
 
 
 def pools(docs: DataFrame, min_pool: int = MIN_POOL) -> DataFrame:
@@ -213,39 +224,56 @@ def pools(docs: DataFrame, min_pool: int = MIN_POOL) -> DataFrame:
     return named.crossJoin(F.broadcast(used)).select("lang", "source", "pool", feeds.alias("feeds"))
 
 
-#: Up to so many pairs of language and source their estimates (20 numbers each) are broadcast; beyond, joined.
-BROADCAST_PAIRS = 10_000
+#: Up to so many pools, or pairs of language and source, their estimates (20 numbers each) are broadcast; beyond, joined in salted parts.
+BROADCAST_POOLS = 30_000
+
+
+def _starts(rated: DataFrame) -> DataFrame:
+    """Estimates to start from: medians with the least deviations, medians with quartile deviations, and mean and covariance of all."""
+    floor = [SCALE * s for s in STATISTICS.values()]
+    found = cut(rated.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", [0.25, 0.5, 0.75], 10_000).alias(f"q{i}") for i in range(P)]))
+    made = cut(_shape(rated.withColumn("start", F.lit(2))))
+    for start in (1, 0):
+        wide = [f"{floor[i]}D" if start == 0 else f"greatest({floor[i]}D, (q{i}[2] - q{i}[0]) / 1.349D)" for i in range(P)]
+        made = made.unionByName(found.select(
+            "pool", F.lit(start).alias("start"), *[F.expr(f"cast(q{i}[1] as double) as m{i}") for i in range(P)],
+            *[F.expr(f"{f'1D / {wide[i]}' if i == j else '0D'} as k{i}{j}") for i, j in _PAIRS], F.lit(0.0).alias("det")))
+    return cut(made)
 
 
 def estimates(docs: DataFrame, *, subset: float = SUBSET, steps: int = STEPS, min_pool: int = MIN_POOL) -> DataFrame:
     """l, s (language, source) and the centre and inverse Cholesky factor of their pool.
 
     ``docs`` has lang, source, base_failed and x0, x1, ... A pool's estimate
-    starts from its coordinatewise medians and concentrates: centre and
-    covariance of the ``subset`` nearest documents, distances from those, and so
-    on; each step can only lower the determinant. Pools of fewer than
-    ``min_pool`` documents have no estimate.
+    concentrates from several starts: centre and covariance of the ``subset``
+    nearest documents, distances from those, and so on; a step can only lower
+    the determinant, but for what the bins add to the subset. After a few steps
+    the start with the least determinant goes on until no pool's estimate
+    changes, for ``steps`` at most. Pools of fewer than ``min_pool`` documents
+    have no estimate.
     """
     fine = docs.where(~F.col("base_failed"))
     named = cut(pools(fine, min_pool).select(F.col("lang").alias("l"), F.col("source").alias("s"), "pool", "feeds"))
-    joined = fine.join(named, F.col("lang").eqNullSafe(F.col("l")) & F.col("source").eqNullSafe(F.col("s")))
+    salt = F.struct(*[f"x{i}" for i in range(P)])
+    joined = beside(fine.select("lang", "source", *[f"x{i}" for i in range(P)]), named.select("l", "s", "feeds"), [("lang", "l"), ("source", "s")], salt, limit=BROADCAST_POOLS)
     rated = cut(joined.select(F.explode("feeds").alias("pool"), *[f"x{i}" for i in range(P)]))
-    named = named.drop("feeds")
-    floor = [SCALE * s for s in STATISTICS.values()]
-    start = rated.groupBy("pool").agg(*[F.percentile_approx(f"x{i}", 0.5, 10_000).alias(f"m{i}") for i in range(P)])
-    shape = start.select("pool", *[F.col(f"m{i}").cast("double") for i in range(P)],
-                         *[F.lit(1 / floor[i] if i == j else 0.0).alias(f"k{i}{j}") for i, j in _PAIRS])
-    for _ in range(steps):
-        shape = cut(_shape(_nearest(rated.join(shape, "pool").withColumn("d2", _distance()).select("pool", "d2", *[f"x{i}" for i in range(P)]), subset)))
+    keyed = lambda shape: shape.withColumnRenamed("pool", "__pool")
+    shape = _starts(rated)
+    for _ in range(TRIAL):
+        shape = _concentrated(rated, keyed(shape), subset)
+    shape = cut(shape.groupBy("pool").agg(F.min_by(F.struct(*SHAPE), F.struct("det", "start")).alias("x")).select("x.*"))
+    for _ in range(TRIAL, steps):
+        before, shape = shape, _concentrated(rated, keyed(shape), subset)
+        if shape.join(before, list(SHAPE), "left_anti").isEmpty():
+            break
     enough = rated.groupBy("pool").count().where(F.col("count") >= min_pool).select("pool")
-    shape = cut(named.join(shape.join(enough, "pool", "left_semi"), "pool").drop("pool"))
-    return F.broadcast(shape) if shape.count() <= BROADCAST_PAIRS else shape
+    return cut(named.drop("feeds").join(shape.join(enough, "pool", "left_semi"), "pool").drop("pool", "start", "det"))
 
 
-def _rated(docs: DataFrame, shape: DataFrame, subset: float = SUBSET) -> DataFrame:
+def _rated(docs: DataFrame, shape: DataFrame, salt: Column, subset: float = SUBSET) -> DataFrame:
     """With d2, scaled to be chi-square for ordinary documents (consistency factor of the subset); null where the base or the pool has none."""
     consistent = subset / chi2_cdf(chi2_at(1 - subset, P), P + 2)
-    joined = docs.join(shape, docs["lang"].eqNullSafe(shape["l"]) & docs["source"].eqNullSafe(shape["s"]), "left")
+    joined = beside(docs, shape, [("lang", "l"), ("source", "s")], salt, limit=BROADCAST_POOLS, how="left")
     return joined.withColumn("d2", F.when(~F.col("base_failed"), _distance() / consistent))
 
 
@@ -263,7 +291,7 @@ def verdicts(documents: DataFrame, *, subset: float = SUBSET, steps: int = STEPS
     rows are documents of their own; an empty table gives no rows.
     """
     docs = cut(counts(documents).select("*", *vector()))
-    out = _rated(docs, estimates(docs, subset=subset, steps=steps, min_pool=min_pool), subset)
+    out = _rated(docs, estimates(docs, subset=subset, steps=steps, min_pool=min_pool), F.struct(*[f"x{i}" for i in range(P)]), subset)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       (~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_at(tail, P))).alias("kept"), "lang", "source", "d2")
 
@@ -271,15 +299,18 @@ def verdicts(documents: DataFrame, *, subset: float = SUBSET, steps: int = STEPS
 def keep_good(documents: DataFrame, tail: float = TAIL) -> DataFrame:
     """The rows that are kept, all columns.
 
-    Estimates come from the short vectors; the texts are then measured where
-    they lie and judged against the (broadcast) estimates, so no text is
-    shuffled.
+    Every text is measured once: the rows are written to the shared folder with
+    their vectors beside them (once the input's size), estimates come from the
+    vectors, and the written rows are filtered where they lie, so no text is
+    shuffled. The copy stays until ``session.sweep``: the result reads it.
     """
-    shape = estimates(cut(counts(documents).select("lang", "source", "base_failed", *vector())))
-    own = F.struct(*[documents[c] for c in documents.columns]).alias("__row")
-    measured = documents.select(own, documents["lang"].alias("lang"), documents["source"].alias("source"), documents["text"].alias("text"))
-    measured = measured.select("__row", "lang", "source", F.struct(*measures()).alias("__q"))
-    named = measured.select("__row", "lang", "source", *[c for c in _flat("__q.")]).select("*", F.expr(BASE_FAILED).alias("base_failed"), *vector())
-    # one condition over both sides of the join: parts of it pushed below would measure the text again
-    good = F.when(F.col("base_failed") | F.isnan(F.coalesce("d2", F.lit(0.0))), False).otherwise(F.coalesce("d2", F.lit(0.0)) <= chi2_at(tail, P))
-    return _rated(named, shape).where(good).select("__row.*")
+    spark = documents.sparkSession
+    folder = scratch(spark, "quality")
+    own = [documents[c].alias(f"c{i}") for i, c in enumerate(documents.columns)]  # names of any kind
+    measured = documents.select(F.struct(*own).alias("row"), documents["lang"].alias("lang"), documents["source"].alias("source"), F.struct(*measures()).alias("__q"))
+    vectors = measured.select("row", "lang", "source", *_flat("__q.")).select("row", "lang", "source", F.expr(BASE_FAILED).alias("base_failed"), *vector())
+    vectors.write.option("compression", "zstd").parquet(folder)
+    held = spark.read.schema(vectors.schema).parquet(folder)
+    shape = estimates(held.drop("row"))
+    good = ~F.col("base_failed") & (F.coalesce("d2", F.lit(0.0)) <= chi2_at(tail, P))
+    return _rated(held, shape, F.struct(*[f"x{i}" for i in range(P)])).where(good).select(*[F.col(f"row.c{i}").alias(c) for i, c in enumerate(documents.columns)])

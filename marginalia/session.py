@@ -14,8 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``, which every executor can read.
 
-    Only where the setting is absent (tests, a laptop) a temporary folder is
-    made and set as the checkpoint folder of the context.
+    Only where the setting is absent and all runs on one machine (tests, a
+    laptop) a temporary folder is made and set as the checkpoint folder of the
+    context; on a cluster without the setting this fails.
     """
     context = spark.sparkContext
     named = context.getConf().get("spark.checkpoint.dir", None)
@@ -25,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not current.isDefined():
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="marginalia-"))
         current = context._jsc.sc().getCheckpointDir()
     return current.get()
@@ -33,12 +36,30 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder's URI in the shared folder, for files that are written and read by name."""
     folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}"
+    folder = folder if re.match(r"[a-z0-9]+:", folder) else f"file://{folder}"
+    _MADE.append(folder)
+    return folder
+
+
+#: Scratch folders that this process made and that still stand.
+_MADE: list[str] = []
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Remove the scratch folders made since there were so many; what is lazily read from them must be written first."""
+    for folder in _MADE[since:]:
+        remove(spark, folder)
+
+
+def made() -> int:
+    return len(_MADE)
 
 
 def remove(spark: SparkSession, folder: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if folder in _MADE:
+        _MADE.remove(folder)
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -53,9 +53,14 @@ def fts_fold(text: Column) -> Column:
     return F.lower(F.translate(text, ACCENTED, PLAIN))
 
 
+#: Combining marks of U+0300 to U+0331 that the full-text tokenizer drops inside a token (at its start they part tokens).
+MARKS = "".join(chr(0x300 + i) for i in range(50) if (0x08029FDF if i < 32 else 0x000361F8) >> (i % 32) & 1)
+
+
 def fts_tokens(text: Column) -> Column:
-    """Tokens of the full-text index: folded runs of letters, numbers and private-use characters."""
-    return F.regexp_extract_all(fts_fold(text), F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
+    """Tokens of the full-text index: folded runs of letters, numbers and private-use characters, less combining marks."""
+    bare = F.regexp_replace(fts_fold(text), rf"(?<=[\p{{L}}\p{{N}}\p{{Co}}])[{MARKS}]+", "")
+    return F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
 
 
 def content_hash(text: Column) -> Column:

@@ -13,22 +13,22 @@ HEADING_LINE = r"(?U)^(#{1,6})\s+(.*)$"
 def sections(body: Column) -> Column:
     """array<struct<heading,text>>: lines under the nearest heading before them, in order; blank ones dropped.
 
-    One fold over the lines of a row, without a shuffle. The state is what's
-    done, the heading, and the lines since.
+    Headings are found first; each section is then one slice of the row's
+    lines, so the work grows with the length of a note, and nothing is shuffled.
     """
-    kind = "array<struct<heading:string,text:string>>"
-    state = F.struct(F.array().cast(kind).alias("done"), F.lit("root").alias("heading"), F.array().cast("array<string>").alias("own"))
 
-    def closed(acc: Column) -> Column:
-        joined = T.strip(F.array_join(acc["own"], "\n"))
-        return F.when(joined != "", F.concat(acc["done"], F.array(F.struct(acc["heading"].alias("heading"), joined.alias("text"))))).otherwise(acc["done"])
+    def made(lines: Column, heads: Column) -> Column:
+        starts, n = F.concat(F.array(F.lit(-1)), heads), F.size(lines)
 
-    def step(acc: Column, line: Column) -> Column:
-        is_heading = F.rlike(line, F.lit(HEADING_LINE))
-        return F.when(is_heading, F.struct(closed(acc).alias("done"), T.strip(F.regexp_extract(line, HEADING_LINE, 2)).alias("heading"), F.array().cast("array<string>").alias("own"))).otherwise(
-            F.struct(acc["done"].alias("done"), acc["heading"].alias("heading"), F.concat(acc["own"], F.array(line)).alias("own")))
+        def one(at: Column, k: Column) -> Column:
+            heading = F.when(at < 0, "root").otherwise(T.strip(F.regexp_extract(F.get(lines, at), HEADING_LINE, 2)))
+            own = F.slice(lines, at + 2, F.coalesce(F.get(heads, k), n) - at - 1)
+            return F.struct(heading.alias("heading"), T.strip(F.array_join(own, "\n")).alias("text"))
 
-    return F.aggregate(T.lines(body), state, step, closed)
+        return F.filter(F.transform(starts, one), lambda s: s["text"] != "")
+
+    places = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(HEADING_LINE)), i)), lambda i: i.isNotNull())
+    return T.let(T.lines(body), lambda lines: T.let(places(lines), lambda heads: made(lines, heads)))
 
 
 def token_windows(tokens: Column, size: int, overlap: int) -> Column:

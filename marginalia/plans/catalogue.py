@@ -6,17 +6,19 @@ way on both sides.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import text as T
-from marginalia.operators import chunk, filters, fusion, keyword, parse, vector
+from marginalia.operators import chunk, embed, filters, fusion, keyword, parse, vector
 from marginalia.plans import sync as plans
-from marginalia.session import table
+from marginalia.session import scratch, table
 from marginalia.sources import store
-from marginalia.sources.vault import excluded_column
+from marginalia.sources.vault import excluded_column, register
 
 SIZE, OVERLAP = 120, 20
 GLOBS = ["src1/**", "*/fr/*"]
@@ -199,7 +201,7 @@ def _bm25_sql(counts: list[str], holds: str, scored: list[int], tokens: str = TO
 
 def _ranked(spark, sf_dir, q: str, syntax: str = "fts") -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    hits = keyword.bm25(keyword.postings(docs, "doc_id"), keyword.corpus_stats(keyword.doc_lengths(docs, "doc_id")), q, "doc_id", syntax)
+    hits = keyword.bm25_texts(docs, q, "doc_id", syntax=syntax)
     return hits.withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "doc_id").limit(20)
 
 
@@ -247,21 +249,17 @@ def keyword_plain(spark, sf_dir):
     return _ranked(spark, sf_dir, "on, heon?", "plain")
 
 
-@query("keyword_multi_query", f"""WITH {TOKENS}, q AS (SELECT item_id, lower(strip_accents(w)) AS term FROM (SELECT item_id, unnest(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')[1:3]) AS w FROM benchmark)),
+@query("keyword_multi_query", f"""WITH {TOKENS}, q AS (SELECT DISTINCT item_id, term FROM (SELECT item_id, unnest(regexp_extract_all(lower(strip_accents(text)), '[\\p{{L}}\\p{{N}}\\p{{Co}}]+')) AS term FROM benchmark)),
     one AS (SELECT doc_id, unnest(t) AS term, len(t) AS dl FROM tok), p AS (SELECT doc_id, term, dl, count(*) AS tf FROM one GROUP BY ALL), n AS (SELECT term, count(*) AS n FROM p GROUP BY term),
     s AS (SELECT count(*) AS total, avg(len(t)) AS avgdl FROM tok),
     h AS (SELECT item_id, doc_id, round(sum(greatest(ln((total - n + 0.5) / (n + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN p USING (term) JOIN n USING (term), s GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 5""")
 def keyword_multi_query(spark, sf_dir):
-    """Many queries at once, any of whose terms may match: one join of postings with the query terms."""
-    docs = table(spark, sf_dir, "documents")
-    q = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.slice(T.fts_tokens(F.col("text")), 1, 3)).alias("term"))
-    p = keyword.postings(docs, "doc_id").select("term", "doc_id", "tf", "dl")
-    n = p.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    s = keyword.corpus_stats(keyword.doc_lengths(docs, "doc_id"))
-    w = F.greatest(F.log((F.col("n_docs") - F.col("n") + 0.5) / (F.col("n") + 0.5)), F.lit(1e-6)) * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("dl") / F.col("avgdl")))
-    hits = p.join(q, "term").join(n, "term").crossJoin(F.broadcast(s)).groupBy("item_id", "doc_id").agg(F.round(F.sum(w), 6).alias("score"))
-    return keyword.rank_within(hits, ["item_id"], [F.desc("score"), F.asc("doc_id")], 5).withColumn("rank", F.col("rank").cast("long"))
+    """Many queries at once, each with all its distinct words, any of which may match."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    stats = keyword.corpus_stats(keyword.doc_lengths(docs, "doc_id"))
+    best = keyword.bm25_many(keyword.postings(docs, "doc_id"), stats, items, 5, "doc_id", "item_id")
+    return best.withColumn("rank", F.col("rank").cast("long"))
 
 
 # ------------------------------------------------------------------ filters
@@ -296,9 +294,8 @@ _CHUNK_TOKENS = CHUNKS + r", tok AS (SELECT seq, path, status, regexp_extract_al
 def keyword_filtered(spark, sf_dir):
     """The best 30 first, then the filter: fewer than ten may be left."""
     c = chunks(spark, sf_dir)
-    index, stats = keyword.postings(c, "seq"), keyword.corpus_stats(keyword.doc_lengths(c, "seq"))
-    hits = keyword.bm25(index, stats, "heon", "seq").withColumn("score", F.round("score", 6)).join(c, "seq")
-    return hits.orderBy(F.desc("score"), "seq").limit(30).where(filters.compile_filters({"status": "done"})).orderBy(F.desc("score"), "seq").limit(10).select("seq", "score")
+    best = keyword.bm25_texts(c, "heon", "seq").withColumn("score", F.round("score", 6)).orderBy(F.desc("score"), "seq").limit(30)
+    return c.join(F.broadcast(best), "seq").where(filters.compile_filters({"status": "done"})).orderBy(F.desc("score"), "seq").limit(10).select("seq", "score")
 
 
 # ------------------------------------------------------------------ vectors and fusion
@@ -518,3 +515,107 @@ def watch_batch(spark, sf_dir):
 
     return latest(table(spark, sf_dir, "events").select(
         F.concat(F.lit("notes/"), F.col("user_id").cast("string"), F.lit(".md")).alias("path"), F.when(F.col("event_type") == "purchase", "deleted").otherwise("modified").alias("kind"), F.col("event_id").alias("seq")))
+
+
+# ------------------------------------------------------------------ a tree of files, its index and its changes
+
+_NOTES = "notes AS (SELECT n_nationkey AS k, r_name || '/' || n_name || '.md' AS path, '# ' || n_name || chr(10) || 'note about ' || lower(n_name) || ' in [[' || r_name || ']]' || chr(10) AS text, r_name FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+def _vault(spark: SparkSession, sf_dir: str) -> Path:
+    """A new tree with a note for every nation, a hidden one, and a file that is none."""
+    root = Path(scratch(spark, "vault").removeprefix("file://")) / "vault"
+    regions = table(spark, sf_dir, "region").withColumnRenamed("r_regionkey", "n_regionkey")
+    for r in table(spark, sf_dir, "nation").join(regions, "n_regionkey").collect():  # the 25 nations
+        _note(root, f"{r.r_name}/{r.n_name}.md", f"# {r.n_name}\nnote about {r.n_name.lower()} in [[{r.r_name}]]\n")
+    _note(root, ".hidden/x.md", "x")
+    _note(root, "readme.txt", "x")
+    return root
+
+
+def _note(root: Path, name: str, text: str) -> None:
+    (root / name).parent.mkdir(parents=True, exist_ok=True)
+    (root / name).write_text(text)
+
+
+def _index(spark: SparkSession, root: Path):
+    from marginalia.config import Config
+    from marginalia.service import NoteIndex
+
+    kept = root.parent / "index"
+    return NoteIndex(spark, Config(vault_path=root, vector_path=kept / "v", keyword_path=kept / "k", state_path=kept / "s", chunk_size=40, chunk_overlap=5), embed.HashingEmbedder(8))
+
+
+@query("vault_scan", f"WITH {_NOTES} SELECT path, length(text) AS n_chars, sha256(text) AS text_hash FROM notes WHERE r_name <> 'AFRICA'")
+def vault_scan(spark, sf_dir):
+    register(spark)
+    found = spark.read.format("vault").option("exclude", json.dumps(["AFRICA/**"])).load(str(_vault(spark, sf_dir)))
+    return found.select("path", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_hash"))
+
+
+@query("vault_files", f"WITH {_NOTES} SELECT path, sha256(text) AS text_hash FROM notes WHERE path IN ('EUROPE/NATION_3.md', 'ASIA/NATION_2.md')")
+def vault_files(spark, sf_dir):
+    """Named files and no others."""
+    register(spark)
+    found = spark.read.format("vault").option("files", json.dumps(["EUROPE/NATION_3.md", "ASIA/NATION_2.md"])).load(str(_vault(spark, sf_dir)))
+    return found.select("path", F.sha2("text", 256).alias("text_hash"))
+
+
+@query("embed_texts", "SELECT item_id, 8 AS size, CASE WHEN regexp_matches(text, '[\\p{L}\\p{N}_]') THEN 1.0 ELSE 0.0 END::DOUBLE AS norm FROM benchmark")
+def embed_texts(spark, sf_dir):
+    made = embed.embed(table(spark, sf_dir, "benchmark"), embed.HashingEmbedder(8), key="item_id")
+    made = vector.check_dimension(made, 8)
+    return made.select("item_id", F.size("embedding").alias("size"), F.round(F.sqrt(vector.dot(F.col("embedding"), F.col("embedding"))), 4).alias("norm"))
+
+
+@query("sync_verbs", f"""WITH {_NOTES}, n AS (SELECT count(*) AS n FROM notes) SELECT * FROM (
+    SELECT 1 AS step, n AS processed, 0::BIGINT AS skipped, 0::BIGINT AS deleted, n AS chunks_written, n AS chunks FROM n UNION ALL SELECT 2, 0, n, 0, 0, n FROM n
+    UNION ALL SELECT 3, 1, n - 1, 0, 1, n FROM n UNION ALL SELECT 4, 2, 0, 0, 2, n FROM n UNION ALL SELECT 5, 0, n - 1, 1, 0, n - 1 FROM n)""")
+def sync_verbs(spark, sf_dir):
+    """All, nothing new, one change, two named files, a removal: what each run did, and how many chunks it wrote."""
+    root = _vault(spark, sf_dir)
+    index, rows = _index(spark, root), []
+
+    def done(counts: dict) -> None:
+        at = f"{index.store.root}/v={index.store.version()}/chunks/rows"
+        written = spark.read.schema(plans.CHUNKS).parquet(at).count()
+        rows.append((len(rows) + 1, counts["processed"], counts["skipped"], counts["deleted"], written, index.store.read("chunks").count()))
+
+    done(index.sync("full"))
+    done(index.sync())
+    _note(root, "EUROPE/NATION_3.md", "# NATION_3\nchanged\n")
+    done(index.sync())
+    _note(root, "ASIA/NATION_2.md", "# NATION_2\nchanged\n")
+    _note(root, "ASIA/NATION_7.md", "# NATION_7\nchanged\n")
+    done(index.sync_files(["ASIA/NATION_2.md", "ASIA/NATION_7.md"]))
+    (root / "ASIA/NATION_12.md").unlink()
+    done(index.sync())
+    return spark.createDataFrame(rows, "step int, processed long, skipped long, deleted long, chunks_written long, chunks long")
+
+
+@query("stream_state", f"WITH {_NOTES} SELECT path, sha256(CASE path WHEN 'EUROPE/NATION_3.md' THEN 'changed' ELSE text END) AS content_hash FROM notes WHERE path <> 'ASIA/NATION_12.md'")
+def stream_state(spark, sf_dir):
+    """The change stream: all that's there, then a change and a removal; what's tracked in the end."""
+    from marginalia.streaming.watch import watch
+
+    root = _vault(spark, sf_dir)
+    index = _index(spark, root)
+    stream = watch(index, str(root.parent / "checkpoint"), interval="0 seconds")
+    try:
+        stream.processAllAvailable()
+        _note(root, "EUROPE/NATION_3.md", "changed")
+        (root / "ASIA/NATION_12.md").unlink()
+        stream.processAllAvailable()
+    finally:
+        stream.stop()
+    return index.store.read("state").select("path", "content_hash")
+
+
+@query("search_stored", f"""WITH {_NOTES}, tok AS (SELECT k AS doc_id, path, regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')[3:] AS t FROM notes), f AS (SELECT path, len(t) AS dl, len(list_filter(t, lambda x: x = 'asia')) AS f0, len(list_filter(t, lambda x: x = 'note')) AS f1 FROM tok),
+    s AS (SELECT count(*) AS N, avg(dl) AS avgdl, count(*) FILTER (WHERE f0 > 0) AS n0, count(*) FILTER (WHERE f1 > 0) AS n1 FROM f)
+    SELECT path, round(greatest(ln((N - n0 + 0.5) / (n0 + 0.5)), 1e-6) * f0 * 2.2 / (f0 + 1.2 * (0.25 + 0.75 * dl / avgdl)) + 1e-6 * f1 * 2.2 / (f1 + 1.2 * (0.25 + 0.75 * dl / avgdl)), 6) AS score FROM f, s WHERE f0 > 0 AND f1 > 0""")
+def search_stored(spark, sf_dir):
+    """A keyword search over the written index."""
+    index = _index(spark, _vault(spark, sf_dir))
+    index.sync("full")
+    return index.keyword_lane("asia note", None, 100).select("path", F.round("score", 6).alias("score"))

@@ -9,9 +9,12 @@ STATE = "path string, content_hash string, mtime double, updated_at double"
 CHUNKS = (
     "seq struct<batch:bigint,nth:bigint>, chunk_id string, note_id string, text string, path string, note_title string, heading_path string, "
     "tags array<string>, links array<string>, tasks array<string>, frontmatter string, derived_fields map<string,string>, mtime double")
-VECTORS = "chunk_id string, embedding array<float>"
+VECTORS = "chunk_id string, seq struct<batch:bigint,nth:bigint>, embedding array<float>"
+#: Of each chunk what ranking needs, without its text.
+LENGTHS = "chunk_id string, seq struct<batch:bigint,nth:bigint>, dl bigint"
 POSTINGS = "term string, chunk_id string, positions array<int>, tf int, dl int"
-SCHEMAS = {"chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "state": STATE}
+SCHEMAS = {"chunks": CHUNKS, "vectors": VECTORS, "postings": POSTINGS, "lengths": LENGTHS, "state": STATE}
+KEYS = {"chunks": "chunk_id", "vectors": "chunk_id", "postings": "chunk_id", "lengths": "chunk_id", "state": "path"}
 MODES = ("full", "incremental", "file")
 
 
@@ -52,8 +55,13 @@ def last_sync(state: DataFrame) -> DataFrame:
     return state.agg(F.max("updated_at").alias("last_sync_timestamp"))
 
 
+def recorded(done: DataFrame, now: float) -> DataFrame:
+    """The rows of state for what was done."""
+    return done.select("path", "content_hash", "mtime", F.lit(float(int(now))).alias("updated_at"))
+
+
 def record(state: DataFrame, done: DataFrame, gone: DataFrame, now: float) -> DataFrame:
     """The state after a run: what was done with its new hash, without what's gone."""
-    fresh = done.select("path", "content_hash", "mtime", F.lit(float(int(now))).alias("updated_at"))
+    fresh = recorded(done, now)
     kept = state.join(fresh.select("path").unionByName(gone.select("path")).distinct(), "path", "left_anti")
     return kept.select("path", "content_hash", "mtime", "updated_at").unionByName(fresh)

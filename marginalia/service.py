@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marginalia.config import Config
+from marginalia.functions import text as T
 from marginalia.operators import chunk, embed, filters, fusion, keyword, parse, vector
 from marginalia.plans import sync as plans
 from marginalia.session import cut
@@ -33,14 +34,21 @@ class NoteIndex:
         self.spark, self.config = spark, config
         self.embedder = embedder or embed.HttpEmbedder(config.embedder_url, config.embedding_model)
         self.stale, self.dates, self.syntax, self.metric, self.exact_filter = stale, dates, syntax, metric, exact_filter
-        self.store = store.SnapshotStore(spark, str(config.store_path), plans.SCHEMAS)
+        self.store = store.SnapshotStore(spark, str(config.store_path), plans.SCHEMAS, plans.KEYS)
         vault.register(spark)
 
     # ------------------------------------------------------------------ writing
 
-    def _files(self, file: str | None = None) -> DataFrame:
+    def _files(self, some: list[str] | None = None) -> DataFrame:
         reader = self.spark.read.format("vault").option("exclude", json.dumps(self.config.exclude_globs))
-        return (reader.option("file", file) if file else reader).load(str(self.config.vault_path))
+        return (reader if some is None else reader.option("files", json.dumps(some))).load(str(self.config.vault_path))
+
+    def _inside(self, file_path: str) -> Path:
+        root = Path(self.config.vault_path).resolve()
+        full = (root / file_path).resolve()
+        if not full.is_relative_to(root):
+            raise ValueError("file_path must lie inside the vault")
+        return full
 
     def sync(self, mode: str = "incremental", file_path: str | None = None) -> dict:
         """processed, skipped, deleted, errors. Modes: full, incremental, file."""
@@ -50,69 +58,80 @@ class NoteIndex:
             return self._apply(self._files(), full=mode == "full", purge=True)
         if not file_path:
             raise ValueError("file_path is required when mode='file'")
-        root = Path(self.config.vault_path).resolve()
-        full = (root / file_path).resolve()
-        if not full.is_relative_to(root):
-            raise ValueError("file_path must lie inside the vault")
+        full = self._inside(file_path)
         if not full.exists():
             raise FileNotFoundError(str(full))
-        return self._apply(self._files(str(full.relative_to(root))), full=False, purge=False)
+        return self.sync_files([file_path])
+
+    def sync_files(self, paths: list[str]) -> dict:
+        """These files and no others; those that aren't there are passed over."""
+        root = Path(self.config.vault_path).resolve()
+        there = sorted({str(f.relative_to(root)) for f in map(self._inside, paths) if f.exists()})
+        return self._apply(self._files(there), full=False, purge=False)
 
     def _apply(self, files: DataFrame, full: bool, purge: bool) -> dict:
-        files = cut(files)
-        notes = cut(parse.parse_notes(files.where("error is null").drop("error"), self.dates))
-        errors = files.where("error is not null").select("error").unionByName(notes.where("error is not null").select(F.concat_ws(": ", "path", "error").alias("error")))
+        """Hash what's there, parse only what changed, and write only the rows that come and the keys that go."""
+        hashed = cut(files.select("seq", "path", "mtime", "error", T.content_hash(F.col("text")).alias("content_hash")))
         old, state = self.store.read("chunks"), self.store.read("state")
-        plan = cut(plans.plan_sync(notes.where("error is null").select("path", "content_hash", "mtime"), state, full))
+        plan = cut(plans.plan_sync(hashed.where("error is null").select("path", "content_hash", "mtime"), state, full))
         # a path that can't be read now is still there: its chunks stay
-        gone = cut(plans.missing(state, files) if purge else state.where("false").select("path"))
-        done = plan.where("status <> 'unchanged'")
-        redo = done.select("path")
+        gone = cut(plans.missing(state, hashed) if purge else state.where("false").select("path"))
+        redo = plan.where("status <> 'unchanged'").select("path")
         if self.stale == "replace":
             # texts that leave the index may have a copy elsewhere, which is then indexed anew
-            leaving = state.join(gone.unionByName(done.where("status = 'changed'").select("path")), "path", "left_semi").select("content_hash").distinct()
-            redo = redo.unionByName(plan.where("status = 'unchanged'").join(leaving, "content_hash", "left_semi").select("path"))
-        made = chunk.chunk_notes(notes.drop("error").join(redo.distinct(), "path", "left_semi"), self.config.chunk_size, self.config.chunk_overlap, self.config.redact_patterns)
+            leaving = state.join(gone.unionByName(plan.where("status = 'changed'").select("path")), "path", "left_semi").select("content_hash").distinct()
+            redo = redo.unionByName(plan.where("status = 'unchanged'").join(leaving, "content_hash", "left_semi").select("path")).distinct()
+        redo = cut(redo)
+        notes = cut(parse.parse_notes(files.where("error is null").drop("error").join(redo, "path", "left_semi"), self.dates))
+        bad = notes.where("error is not null")
+        errors = hashed.where("error is not null").select("error").unionByName(bad.select(F.concat_ws(": ", "path", "error").alias("error")))
+        plan = plan.join(bad.select("path"), "path", "left_anti")
+        notes, redo = notes.where("error is null").drop("error"), redo.join(bad.select("path"), "path", "left_anti")
+        made = chunk.chunk_notes(notes, self.config.chunk_size, self.config.chunk_overlap, self.config.redact_patterns)
         batch = self.store.version() + 1
         ordered = made.orderBy("seq", "section", "nth").withColumn("seq", F.struct(F.lit(batch).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("nth")))
         fresh = cut(ordered.drop("section", "nth"))
-        fresh = cut(fresh.groupBy("chunk_id").agg(F.max_by(F.struct(*fresh.columns), "seq").alias("r")).select("r.*"))
-        left = gone if self.stale == "keep" else gone.unionByName(redo).distinct()
-        dropped = old.join(left, "path", "left_semi").select("chunk_id").unionByName(fresh.select("chunk_id")).distinct()
-        dropped = cut(dropped)
+        fresh = fresh.groupBy("chunk_id").agg(F.max_by(F.struct(*fresh.columns), "seq").alias("r")).select("r.*")
         # a chunk that stays under its id keeps its place in order of insertion
-        fresh = fresh.join(old.select("chunk_id", F.col("seq").alias("was")), "chunk_id", "left").withColumn("seq", F.coalesce("was", "seq")).drop("was")
-        self.store.write({
-            "chunks": store.delete(old, dropped, "chunk_id").unionByName(fresh.select(*old.columns)),
-            "vectors": store.delete(self.store.read("vectors"), dropped, "chunk_id").unionByName(embed.embed(fresh, self.embedder)),
-            "postings": store.delete(self.store.read("postings"), dropped, "chunk_id").unionByName(keyword.postings(fresh).select("term", "chunk_id", "positions", "tf", "dl"))
-            .repartitionByRange("term").sortWithinPartitions("term", "chunk_id"),
-            "state": plans.record(state, done, gone, time.time()),
+        fresh = cut(fresh.join(old.select("chunk_id", F.col("seq").alias("was")), "chunk_id", "left").withColumn("seq", F.coalesce("was", "seq")).drop("was"))
+        left = gone if self.stale == "keep" else gone.unionByName(redo).distinct()
+        dropped = cut(old.join(left, "path", "left_semi").select("chunk_id").unionByName(fresh.select("chunk_id")).distinct())
+        done = notes.join(plan.where("status <> 'unchanged'").select("path"), "path", "left_semi")
+        index = cut(keyword.postings(fresh))
+        lengths = keyword.doc_lengths(fresh).join(fresh.select("chunk_id", "seq"), "chunk_id")
+        self.store.apply({
+            "chunks": (fresh, dropped), "vectors": (self._vectors(fresh), dropped), "lengths": (lengths, dropped),
+            "postings": (index.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), dropped),
+            "state": (plans.recorded(done, time.time()), gone.unionByName(done.select("path"))),
         })
         return plans.counts(plan, gone, errors).first().asDict()
 
+    def _vectors(self, fresh: DataFrame) -> DataFrame:
+        """Embeddings of new chunks, all as long as those that are there, or as the first."""
+        made = cut(embed.embed(fresh, self.embedder).join(fresh.select("chunk_id", "seq"), "chunk_id"))
+        first = self.store.read("vectors").select(F.size("embedding").alias("n")).first() or made.select(F.size("embedding").alias("n")).first()
+        return vector.check_dimension(made, first.n) if first else made
+
     def delete_note(self, note_id: str) -> None:
         """Drop a note's chunks from all tables."""
         ids = self.store.read("chunks").where(F.col("note_id") == note_id).select("chunk_id")
-        self.store.write({n: store.delete(self.store.read(n), ids, "chunk_id") for n in ("chunks", "vectors", "postings")})
+        self.store.apply({n: (self.store.read(n).where("false"), ids) for n, key in plans.KEYS.items() if key == "chunk_id"})
 
     # ------------------------------------------------------------------ reading
 
-    def _stats(self) -> DataFrame:
-        index = self.store.read("postings")
-        lengths = self.store.read("chunks").select("chunk_id").join(index.select("chunk_id", "dl").distinct(), "chunk_id", "left").select(F.coalesce("dl", F.lit(0)).cast("long").alias("dl"))
-        return keyword.corpus_stats(lengths)
-
     def keyword_lane(self, query: str, filters_: dict | None, limit: int) -> DataFrame:
-        return keyword.search(self.store.read("chunks"), self.store.read("postings"), self._stats(), query, limit, filters_, self.syntax, self.exact_filter)
+        stats = keyword.corpus_stats(self.store.read("lengths"))
+        return keyword.search(self.store.read("chunks"), self.store.read("postings"), stats, query, limit, filters_, self.syntax, self.exact_filter)
 
     def semantic_lane(self, query: str, filters_: dict | None, limit: int) -> DataFrame:
         """The nearest 3 * limit chunks that pass the filters, cut to limit."""
         chunks, vectors = self.store.read("chunks"), self.store.read("vectors")
         ok = filters.compile_filters(filters_)
-        rows = vectors.join(chunks, "chunk_id")
-        near = vector.topk(rows.where(ok) if self.exact_filter else rows, self.embedder.embed([query])[0], 3 * limit, self.metric, tie="seq")
-        return near.where(ok).orderBy(F.desc("score"), "seq").limit(limit).withColumn("source", F.lit("semantic"))
+        if self.exact_filter:
+            vectors = vectors.join(chunks.where(ok).select("chunk_id"), "chunk_id", "left_semi")
+        near = vector.topk(vectors, self.embedder.embed([query])[0], 3 * limit, self.metric, tie="seq")
+        hits = chunks.join(F.broadcast(near.drop("seq")), "chunk_id")  # at most 3 * limit rows
+        return hits.where(ok).orderBy(F.desc("score"), "seq").limit(limit).withColumn("source", F.lit("semantic"))
 
     def hits(self, query: str, filters_: dict | None = None, top_k: int = 10) -> DataFrame:
         """Fused hits in order: rank, chunk_id, score, source, text and metadata; one plan for both lanes."""

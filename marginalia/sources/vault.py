@@ -67,10 +67,12 @@ class _Files(InputPartition):
 class VaultReader(DataSourceReader):
     def __init__(self, options: dict) -> None:
         self.root, self.globs = options["path"], json.loads(options.get("exclude", "[]"))
-        self.per, self.one = int(options.get("filesPerPartition", 256)), options.get("file")
+        self.per = int(options.get("filesPerPartition", 256))
+        some = [options["file"]] if "file" in options else json.loads(options["files"]) if "files" in options else None
+        self.some: list[str] | None = some
 
     def partitions(self) -> list[InputPartition]:
-        found = listing(self.root, self.globs) if self.one is None else [(self.one, os.stat(os.path.join(self.root, self.one)).st_mtime)]
+        found = listing(self.root, self.globs) if self.some is None else [(p, os.stat(os.path.join(self.root, p)).st_mtime) for p in self.some]
         files = [(i, p, m) for i, (p, m) in enumerate(found)]
         return [_Files(self.root, files[i : i + self.per]) for i in range(0, len(files), self.per)] or [_Files(self.root, [])]
 
@@ -84,7 +86,7 @@ class VaultReader(DataSourceReader):
 
 
 class VaultSource(DataSource):
-    """``spark.read.format('vault').load(root)``; options exclude (JSON list), file, filesPerPartition."""
+    """``spark.read.format('vault').load(root)``; options exclude (JSON list), file, files (JSON list), filesPerPartition."""
 
     @classmethod
     def name(cls) -> str:

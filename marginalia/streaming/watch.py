@@ -19,20 +19,21 @@ def latest(changes: DataFrame) -> DataFrame:
     return notes.groupBy("path").agg(F.max_by("kind", order[0]).alias("kind"))
 
 
+#: Changed files up to which a batch does each by itself; the first batch is the whole tree.
+MOST_FILES = 1000
+
+
 def apply_batch(index: NoteIndex, changes: DataFrame) -> dict | None:
-    """Deletions make one incremental pass, which does the rest as well; otherwise each changed file is done by itself.
+    """Deletions, or very many changes, make one incremental pass; otherwise the changed files are done, and no others read.
 
     A path that was created and is gone again is left to the next deletion event.
     """
-    kinds = latest(changes).orderBy("path").collect()  # as many rows as files changed within a trigger
+    kinds = latest(changes).orderBy("path").limit(MOST_FILES + 1).collect()
     if not kinds:
         return None
-    if len(kinds) > 1 or any(r.kind == "deleted" for r in kinds):
+    if len(kinds) > MOST_FILES or any(r.kind == "deleted" for r in kinds):
         return index.sync("incremental")
-    try:
-        return index.sync("file", kinds[0].path)
-    except FileNotFoundError:
-        return None
+    return index.sync_files([r.path for r in kinds])
 
 
 def watch(index: NoteIndex, checkpoint: str, interval: str = "1 second", once: bool = False) -> StreamingQuery:

@@ -8,7 +8,7 @@ import __spark_entry__ as driver
 from marginalia.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("documents", "embeddings", "benchmark", "events", "labels", "pages", "conversations")
+TABLES = ("documents", "embeddings", "benchmark", "events", "labels", "pages", "conversations", "nation", "region")
 
 
 @pytest.fixture(scope="module")

@@ -169,3 +169,63 @@ def test_embedders():
     a, b = HashingEmbedder(8).embed(["one two", "one two"])
     assert a == b and abs(sum(x * x for x in a) - 1) < 1e-9 and HashingEmbedder(4).embed([""]) == [[0.0] * 4]
     assert not HttpEmbedder("http://127.0.0.1:9", "m", probe_timeout=0.2).health()
+
+
+def files_of(root):
+    return {str(p.relative_to(root)): p.stat().st_mtime_ns for p in root.rglob("*.parquet")}
+
+
+def test_a_change_writes_only_itself(index, tmp_path):
+    index.sync()
+    root = config.Path(index.store.root)
+    before = files_of(root)
+    write(tmp_path, "a.md", "# A\nsomething else\n")
+    index.sync()
+    after = files_of(root)
+    assert before.items() <= after.items()  # what was there isn't touched
+    assert index.store.manifest()["parts"]["chunks"] == [[1, False], [2, True]]
+    fresh = index.spark.read.parquet(f"{root}/v=2/chunks/rows")
+    assert [r.path for r in fresh.collect()] == ["a.md"]
+    assert sorted(r.path for r in index.store.read("chunks").collect()) == ["a.md", "b.md", "sub dir/_c.md"]
+    index.store.merge = 2
+    for n in range(3):  # folders are merged, and old ones go
+        write(tmp_path, "b.md", f"# B\nversion {n}\n")
+        assert index.sync()["processed"] == 1
+    parts = index.store.manifest()["parts"]["chunks"]
+    assert len(parts) <= 2 and not (root / "v=1/chunks").exists()
+    assert sorted(r.text for r in index.store.read("chunks").collect()) == ["dentist appointment [[b|see]]", "something else", "version 2"]
+    assert {r.term for r in index.store.read("postings").where("term in ('1', '2', 'hello')").collect()} == {"2"}
+    assert index.store.read("lengths").count() == index.store.read("vectors").count() == 3
+
+
+def test_several_files(index, tmp_path):
+    index.sync()
+    write(tmp_path, "a.md", "# A\nnew a\n")
+    write(tmp_path, "b.md", "# B\nnew b\n")
+    write(tmp_path, "sub dir/_c.md", "# C\nnot looked at\n")
+    assert index.sync_files(["a.md", "b.md", "none.md"]) == {"processed": 2, "skipped": 0, "deleted": 0, "errors": []}
+    assert sorted(r.text for r in index.store.read("chunks").collect()) == ["dentist appointment [[b|see]]", "new a", "new b"]
+    rows = index.spark.createDataFrame([("a.md", "modified", 1.0), ("sub dir/_c.md", "modified", 2.0)], "path string, kind string, mtime double")
+    from marginalia.streaming.watch import apply_batch
+
+    assert apply_batch(index, rows) == {"processed": 1, "skipped": 1, "deleted": 0, "errors": []}
+
+
+def test_vectors_of_another_length_are_refused(index, tmp_path):
+    index.sync()
+    index.embedder = HashingEmbedder(8)
+    write(tmp_path, "a.md", "# A\nchanged\n")
+    with pytest.raises(Exception, match="16 dimensions"):
+        index.sync()
+    assert index.store.version() == 1 and index.search("planning")["hits"]
+
+
+def test_no_shared_folder_on_a_cluster(monkeypatch):
+    from types import SimpleNamespace
+
+    from marginalia import session
+
+    empty = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://h:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(SimpleNamespace(sparkContext=context))

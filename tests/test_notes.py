@@ -98,3 +98,12 @@ def test_overlap_and_ids(spark):
     assert rows[0].text.split()[-20:] == rows[1].text.split()[:20]
     for r in rows:
         assert r.chunk_id == str(uuid.uuid5(uuid.NAMESPACE_URL, f"{r.note_id}:{r.heading_path}:{r.nth}:{r.text}"))
+
+
+def test_long_notes_in_linear_work(spark):
+    import time
+
+    text = "\n".join(f"## h{i}\nline {i}" if i % 2 else f"line {i}" for i in range(100_000))
+    began = time.time()
+    s = notes(spark, [text]).select(chunk.sections(F.col("body")).alias("s")).first().s
+    assert len(s) == 50_001 and s[1].heading == "h1" and s[1].text == "line 1\nline 2" and time.time() - began < 30

@@ -120,3 +120,38 @@ def test_fusion(spark):
     assert fusion.answer_draft(ranked).first()[0] == "- p2 :: root\n- None :: h3"
     assert fusion.answer_draft(ranked.where("false")).first()[0] == fusion.NOTHING
     assert [tuple(r) for r in fusion.citations(ranked).collect()] == [("c2", "p2", "root"), ("c3", None, "h3")]
+
+
+def test_combining_marks_like_sqlite(spark):
+    import unicodedata
+
+    from marginalia.functions import text as T
+
+    texts = [unicodedata.normalize("NFD", t) for t in ("Café naïve señal", "über Ångström", "çé ñ", "́abc á́b ͠x y̧z")]
+    db = sqlite3.connect(":memory:")
+    db.execute("create virtual table f using fts5(text)")
+    db.execute("create virtual table v using fts5vocab(f, instance)")
+    got = [r.t for r in spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i").select(T.fts_tokens(F.col("text")).alias("t")).collect()]
+    for i, text in enumerate(texts):
+        db.execute("insert into f(rowid, text) values (?, ?)", (i + 1, text))
+        want = [r[0] for r in db.execute("select term from v where doc = ? order by offset", (i + 1,))]
+        assert got[i] == want, text
+
+
+def test_postings_are_gathered_in_the_row(spark):
+    df = spark.createDataFrame([("a", "b a b"), ("c", None), ("d", "")], "chunk_id string, text string")
+    assert sorted((r.term, r.chunk_id, r.positions, r.tf, r.dl) for r in keyword.postings(df).collect()) == [("a", "a", [1], 1, 3), ("b", "a", [0, 2], 2, 3)]
+    assert "Exchange" not in keyword.postings(df)._jdf.queryExecution().executedPlan().toString()
+    assert [r.term for r in keyword.postings(df, only=lambda t: t == "a").collect()] == ["a"]
+
+
+def test_many_queries_in_blocks(spark, monkeypatch):
+    df = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(TEXTS)], "chunk_id string, text string")
+    q = spark.createDataFrame([(1, "one two two"), (2, "plan the"), (3, "zzz"), (4, None)], "query_id int, text string")
+    index, stats = keyword.postings(df), keyword.corpus_stats(keyword.doc_lengths(df))
+    ask = lambda: sorted(map(tuple, keyword.bm25_many(index, stats, q, 3).collect()))
+    whole = ask()
+    want = {r.chunk_id: r.score for r in keyword.bm25(index, stats, "one OR two").collect()}
+    assert len(whole) == 6 and all(abs(want[c] - s) < 1e-6 for i, c, s, _ in whole if i == 1)
+    monkeypatch.setattr(keyword, "MANY_TERMS", 1)
+    assert ask() == whole

@@ -92,8 +92,7 @@ def gram_counts(documents: DataFrame, depth: int = DEPTH) -> DataFrame:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
             for _, key in pieces(batch.column(0), depth):
-                code, distinct = pd.factorize(key)
-                parts.append((distinct, np.bincount(code)))
+                parts.append(np.unique(key, return_counts=True))
                 if sum(len(k) for k, _ in parts[1:]) > 1_000_000:
                     parts = [merged(parts)]  # no more than the distinct strings of the task's texts
         if parts:
@@ -159,20 +158,29 @@ class Model:
     """A tree (or the part of it under some last-two-byte contexts) as sorted arrays."""
 
     def __init__(self, level: Callable[[int], pa.Table], depth: int) -> None:
-        """``level`` reads the nodes of one depth: key, one, seen. One level at a time is held as read."""
+        """``level`` gives the nodes of one depth: num_rows, and to_batches() of key, one, seen; no more than a batch is held as read."""
         self.depth, self.keys, self.ones = depth, [], []
         for d in range(depth + 1):
-            table = level(d).select(["key", "one", "seen"])
-            k = table.column("key").to_numpy()
+            nodes, at = level(d), 0
+            k, one, seen = np.empty(nodes.num_rows, np.int64), np.empty(nodes.num_rows), np.empty(nodes.num_rows if d == depth else 0, np.uint8)
+            for batch in nodes.to_batches():
+                to = at + batch.num_rows
+                k[at:to], one[at:to] = batch.column("key").to_numpy(), batch.column("one").to_numpy()
+                if d == depth:
+                    seen[at:to] = batch.column("seen").to_numpy()
+                at = to
             if len(k) > 1 and (k[1:] <= k[:-1]).any():  # written in order, but read in whatever
-                table = table.sort_by("key")
-                k = table.column("key").to_numpy()
-            self.keys.append(np.array(k))
-            self.ones.append(np.array(table.column("one").to_numpy()))
-            if d == depth:
-                seen, last = table.column("seen").to_numpy(), (k & 255) >= 128
-                context, decision, seen = k[last] >> 8 << 8, k[last] & 255, seen[last]
-                self.grams = np.sort(np.concatenate([context[seen & flag > 0] | ((decision << 1 | bit) & 255)[seen & flag > 0] for bit, flag in ((0, 1), (1, 2))]))
+                order = np.argsort(k)
+                k, one, seen = k[order], one[order], seen[order] if d == depth else seen
+            self.keys.append(k)
+            self.ones.append(one)
+        grams = []
+        for at in range(0, len(k), PIECE):  # the strings that training texts had, from the last decision of each byte
+            part, flags = k[at : at + PIECE], seen[at : at + PIECE]
+            last = (part & 255) >= 128
+            context, decision, flags = part[last] >> 8 << 8, part[last] & 255, flags[last]
+            grams += [context[flags & flag > 0] | ((decision << 1 | bit) & 255)[flags & flag > 0] for bit, flag in ((0, 1), (1, 2))]
+        self.grams = np.sort(np.concatenate(grams or [np.empty(0, np.int64)]))
         self.known = np.concatenate([self.bits(self.grams[i : i + PIECE]) for i in range(0, len(self.grams), PIECE)] or [np.empty(0)])
 
     def bits(self, grams: np.ndarray) -> np.ndarray:
@@ -204,6 +212,18 @@ class Model:
         return out
 
 
+class _Level:
+    """The nodes of one depth in some folders, read a batch at a time."""
+
+    def __init__(self, parts: list[ds.Dataset], d: int) -> None:
+        self.parts, self.own = parts, pc.field("depth") == d
+        self.num_rows = sum(p.count_rows(filter=self.own) for p in parts)
+
+    def to_batches(self) -> Iterator[pa.RecordBatch]:
+        for p in self.parts:
+            yield from p.to_batches(columns=["key", "one", "seen"], filter=self.own, batch_size=1 << 16, batch_readahead=1, fragment_readahead=1, use_threads=False)
+
+
 _MODELS: dict[tuple, Model] = {}
 
 
@@ -213,9 +233,7 @@ def _load(folder: str, block: int, blocks: int, depth: int) -> Model:
         _MODELS.clear()
         where, base = fs.FileSystem.from_uri(folder)
         parts = [ds.dataset(f"{base}/block={k}", filesystem=where, format="parquet") for k in (-1, block) if where.get_file_info(f"{base}/block={k}").type]
-        some = pa.schema([("key", pa.int64()), ("one", pa.float64()), ("seen", pa.int8())])
-        read = lambda d: pa.concat_tables([some.empty_table(), *[p.to_table(columns=some.names, filter=pc.field("depth") == d, batch_size=1 << 16, use_threads=False).cast(some) for p in parts]])
-        _MODELS[key] = Model(read, depth)
+        _MODELS[key] = Model(lambda d: _Level(parts, d), depth)
     return _MODELS[key]
 
 

@@ -7,7 +7,6 @@ other, each closed by an end-of-document id, without an index.
 from __future__ import annotations
 
 import base64
-import os
 import uuid
 from collections.abc import Iterator
 
@@ -34,19 +33,26 @@ def _open(path: str) -> tuple[fs.FileSystem, str]:
 _ENCODERS: dict = {}
 
 
-def encoder(vocabulary: str):
-    """The public vocabulary at that path, read once for each Python worker."""
-    if vocabulary not in _ENCODERS:
+def ranks(vocabulary: str, eod: int = EOD) -> dict[bytes, int]:
+    """The public vocabulary at that path; refused if its ids don't fit 16 bits or one of them is the separator's."""
+    with open(vocabulary, "rb") as lines:
+        found = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    if eod in (ids := set(found.values())) or max(ids | {eod}) > 0xFFFF:
+        raise ValueError(f"{vocabulary} has ids above 65535, or gives {eod} to a token")
+    return found
+
+
+def encoder(vocabulary: str, eod: int = EOD):
+    """Its encoder, made once for each Python worker."""
+    if (vocabulary, eod) not in _ENCODERS:
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        _ENCODERS[vocabulary] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[vocabulary]
+        _ENCODERS[vocabulary, eod] = tiktoken.Encoding("given", pat_str=PATTERN, mergeable_ranks=ranks(vocabulary, eod), special_tokens={})
+    return _ENCODERS[vocabulary, eod]
 
 
 def write_tokens(documents: DataFrame, folder: str, *, vocabulary: str = VOCABULARY, eod: int = EOD) -> DataFrame:
-    """Write token files, one a partition, and return where documents went: file, nth, doc_id.
+    """Write token files, one a partition, and return where documents went: file, nth, doc_id, size (of the file, so far).
 
     The order of ids in a file is kept, not their offsets; those are what the
     scan finds. A file is written under a name of its attempt and counts only if
@@ -55,35 +61,41 @@ def write_tokens(documents: DataFrame, folder: str, *, vocabulary: str = VOCABUL
     docs = only(documents, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, out = encoder(vocabulary).encode_ordinary, None
+        encode, out = encoder(vocabulary, eod).encode_ordinary, None
         where, base = _open(folder)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u16"
-        nth = 0
+        nth = size = 0
         try:
             for batch in batches:
                 if out is None:
                     out = where.open_output_stream(f"{base}/{name}")
+                sizes = []
                 for value in batch.column(1):
-                    out.write(np.array([*encode(value.as_py() or ""), eod], np.uint16).tobytes())
+                    ids = np.array([*encode(value.as_py() or ""), eod], np.uint16)
+                    out.write(ids.tobytes())
+                    size += len(ids)
+                    sizes.append(size)
                 n = batch.num_rows
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([name] * n), pa.array(np.arange(nth, nth + n)), batch.column(0)], names=["file", "nth", "doc_id"])
+                    [pa.array([name] * n), pa.array(np.arange(nth, nth + n)), batch.column(0), pa.array(sizes, pa.int64())], names=["file", "nth", "doc_id", "size"])
                 nth += n
         finally:
             if out is not None:
                 out.close()
 
-    return docs.mapInArrow(run, f"file string, nth long, doc_id {docs.schema['doc_id'].dataType.simpleString()}")
+    return docs.mapInArrow(run, f"file string, nth long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, size long")
 
 
 def blocks(spark: SparkSession, folder: str, names: list[str], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """file, block, start, size (tokens): equal pieces of the files, from their lengths alone."""
+    """The blocks of given files, whose lengths are looked up."""
     where, base = _open(folder)
-    rows = []
-    for info in where.get_file_info([f"{base}/{n}" for n in names]):
-        rows.append((os.path.basename(info.path), info.size // 2))
-    files = spark.createDataFrame(rows, "file string, tokens long")
-    return files.where("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0), F.expr(f"(tokens - 1) div {block_tokens}"))).alias("block")).select(
+    rows = [(info.base_name, info.size // 2) for info in where.get_file_info([f"{base}/{n}" for n in names])]
+    return pieces_of(spark.createDataFrame(rows, "file string, tokens long"), block_tokens)
+
+
+def pieces_of(files: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """file, block, start, size (tokens): equal pieces of the files, from their lengths (file, tokens) alone."""
+    return files.where("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(tokens - 1) div {block_tokens}"))).alias("block")).select(
         "file", "block", (F.col("block") * block_tokens).alias("start"), F.least(F.lit(block_tokens), F.col("tokens") - F.col("block") * block_tokens).alias("size"))
 
 
@@ -114,7 +126,7 @@ def separators(pieces: DataFrame, folder: str, *, eod: int = EOD) -> DataFrame:
 
 
 def stitch(read: DataFrame) -> DataFrame:
-    """file, nth, n_tokens of every closed document, from the blocks' readings.
+    """file, nth, n_tokens of every document, from the blocks' readings; tokens after a file's last separator are one as well.
 
     A running sum of separators numbers the documents; the tokens that a
     document has in earlier blocks are a running sum of tails since the last
@@ -132,9 +144,13 @@ def stitch(read: DataFrame) -> DataFrame:
     openers = placed.where("found > 0").select("file", (F.col("since") + 1).alias("since"), F.col("tail").alias("opened"))
     full = placed.join(openers, ["file", "since"], "left").withColumn(
         "carried", F.coalesce("opened", F.lit(0)) + F.coalesce(F.sum(F.when(F.col("found") == 0, F.col("head")).otherwise(0)).over(group), F.lit(0)))
-    return full.where("found > 0").select(
+    # what a file ends with, if no separator closes it
+    ends = full.groupBy("file").agg(F.max_by(F.struct(F.when(F.col("found") > 0, F.col("tail")).otherwise(F.col("carried") + F.col("head")).alias("n_tokens"), (F.col("nth") + F.col("found")).alias("nth")), "block").alias("x"))
+    ends = ends.where("x.n_tokens > 0").select("file", "x.nth", "x.n_tokens")
+    closed = full.where("found > 0").select(
         "file", F.posexplode(F.concat(F.array(F.col("carried") + F.col("head")), F.col("lengths"))).alias("k", "n_tokens"), "nth",
     ).select("file", (F.col("nth") + F.col("k")).alias("nth"), "n_tokens")
+    return closed.unionByName(ends)
 
 
 def token_counts(documents: DataFrame, *, vocabulary: str = VOCABULARY, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -146,13 +162,14 @@ def token_counts(documents: DataFrame, *, vocabulary: str = VOCABULARY, eod: int
     spark = documents.sparkSession
     ship(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
+    ranks(vocabulary, eod)  # refused here rather than in a task
     where, base = _open(folder)
     where.create_dir(base, recursive=True)
     try:
         placed = cut(write_tokens(documents, folder, vocabulary=vocabulary, eod=eod))
-        names = [r.file for r in placed.select("file").distinct().collect()]  # one a partition
-        pieces = blocks(spark, folder, names, block_tokens)
-        counted = cut(stitch(separators(pieces.repartition(max(1, min(len(names) * 2, 2000)), "file", "block"), folder, eod=eod)))
+        pieces = pieces_of(placed.groupBy("file").agg(F.max("size").alias("tokens")), block_tokens)
+        width = max(1, min(2 * placed.rdd.getNumPartitions(), 2000))
+        counted = cut(stitch(separators(pieces.repartition(width, "file", "block"), folder, eod=eod)))
     finally:
         where.delete_dir(base)
-    return placed.join(counted, ["file", "nth"]).select("doc_id", "n_tokens")
+    return placed.select("file", "nth", "doc_id").join(counted, ["file", "nth"]).select("doc_id", "n_tokens")

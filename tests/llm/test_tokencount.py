@@ -37,3 +37,22 @@ def test_scan_of_given_files(spark, tmp_path, block):
 @pytest.mark.skipif(not HERE, reason="no vocabulary")
 def test_empty(empty):
     assert tokencount.token_counts(empty.select(F.col("doc_id"), "text")).count() == 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 100])
+def test_last_document_without_a_separator(spark, tmp_path, block):
+    np.array([1, 2, 500, 3, 4, 5], np.uint16).tofile(tmp_path / "x.u16")
+    np.array([1, 2], np.uint16).tofile(tmp_path / "y.u16")
+    pieces = tokencount.blocks(spark, str(tmp_path), ["x.u16", "y.u16"], block)
+    got = [tuple(x) for x in tokencount.stitch(tokencount.separators(pieces, str(tmp_path), eod=500)).collect()]
+    assert sorted(got) == [("x.u16", 0, 2), ("x.u16", 1, 3), ("y.u16", 0, 2)]
+
+
+def test_vocabularies_that_clash_are_refused(tmp_path):
+    import base64
+
+    path = tmp_path / "v.tiktoken"
+    for ids, eod in (([0, 7], 7), ([0, 70_000], 7), ([0], 70_000)):
+        path.write_text("".join(f"{base64.b64encode(bytes([65 + i])).decode()} {k}\n" for i, k in enumerate(ids)))
+        with pytest.raises(ValueError, match="ids above"):
+            tokencount.ranks(str(path), eod)

@@ -17,12 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import only
+from marginalia.llm.common import ASCII_LOWER, ASCII_UPPER, let, only
 from marginalia.session import ship
 
 WINDOW = 10
 #: Bytes of normalised benchmark text in one automaton (about 60 times that in memory, at worst).
 BLOCK_BYTES = 1_000_000
+#: Words of an item beyond which it's cut into parts that overlap, so that one long item makes no larger block.
+PART_WORDS = 20_000
 _WORD = frozenset([*b"0123456789abcdefghijklmnopqrstuvwxyz", *range(128, 256)])
 _TABLE = bytes(c if c in _WORD else 32 for c in range(256))
 
@@ -98,7 +100,7 @@ def matches(documents: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, bloc
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, text_hash long, n_words long, hits array<struct<start:long,end:long>>, words array<struct<first:long,end:long>>, items array<string>"
     found = None
-    held = _blocks(benchmark, block_bytes)
+    held = _blocks(benchmark, block_bytes, n)
     for k, own in enumerate(held):
         part = docs.mapInArrow(_scanner(own, n), schema).withColumn("block", F.lit(k))
         found = part if found is None else found.unionByName(part)
@@ -122,9 +124,16 @@ def _union(name: str, first: str):
 _BUILT: dict[int, ahocorasick.Automaton | None] = {}
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list:
-    """Broadcasts of (id, text), each of about ``block_bytes`` of text at most; the size is measured first."""
+def _blocks(benchmark: DataFrame, block_bytes: int, n: int = WINDOW) -> list:
+    """Broadcasts of (id, text), each of about ``block_bytes`` of text at most; the size is measured first.
+
+    Long items go in parts that share n - 1 words: each window lies in one of them.
+    """
     items = only(benchmark, "item_id", "text").select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text")
+    words = F.array_remove(F.split(F.translate(F.coalesce("text", F.lit("")), ASCII_UPPER, ASCII_LOWER), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    parts = let(words, lambda w: F.when(F.size(w) > PART_WORDS, F.transform(
+        F.sequence(F.lit(0), F.size(w) - n, F.lit(PART_WORDS)), lambda i: F.array_join(F.slice(w, i + 1, PART_WORDS + n - 1), " "))).otherwise(F.array("text")))
+    items = items.select("item", F.explode(parts).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-total // block_bytes) or 1
     parts = [items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) for k in range(blocks)]
@@ -164,7 +173,7 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, n: int = WINDOW, block_
     """The rows without any hit, all columns: a filter where the rows lie, one after the other for each block of the benchmark."""
     ship(documents.sparkSession)
     out, at = documents, documents.columns.index("text")
-    for held in _blocks(benchmark, block_bytes):
+    for held in _blocks(benchmark, block_bytes, n):
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             made = _built(held, n)
             for batch in batches:

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -70,3 +71,14 @@ def test_clean_keeps_columns(spark, documents, items):
     dirty = {r.doc_id for r in decontam.matches(documents, bench).where("size(hits) > 0").collect()}
     assert dirty and not dirty & {r.doc_id for r in left.select("doc_id").collect()}
     assert entries.queries()
+
+
+def test_long_items_in_parts(spark, monkeypatch):
+    r = random.Random(8)
+    words = [f"w{r.randint(0, 400)}" for _ in range(95)]
+    items = [(1, " ".join(words)), (2, "one two"), (3, None)]
+    docs = [(i, " ".join(words[a : a + 12])) for i, a in enumerate(range(0, 84, 3))] + [(100, "so one two it is"), (101, " ".join(words[:9]))]
+    frames = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    plain = sorted(map(str, decontam.matches(*frames).collect()))
+    monkeypatch.setattr(decontam, "PART_WORDS", 20)
+    assert sorted(map(str, decontam.matches(*frames).collect())) == plain

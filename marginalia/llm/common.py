@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions.text import let  # noqa: F401
+from marginalia.session import cut
 
 #: Separators of the plain word rule: space and U+0009 to U+000D.
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -55,3 +56,19 @@ def beside(rows: DataFrame, plan: DataFrame, on: Sequence[tuple[str, str]], salt
     for _, b in pairs:
         out = out.drop(plan[b])
     return out.drop("__salt")
+
+
+def hot_join(rows: DataFrame, table: DataFrame, key: str, share: int = 1000) -> DataFrame:
+    """Inner join on a key that the table has once and that a large share of the rows may have (no nulls).
+
+    Keys that more than one in ``share`` rows have are at most as many: their
+    rows of the table are broadcast, so a hot key's rows stay where they are;
+    the others are joined by key. Both sides should be cheap to read again.
+    """
+    total = rows.count()
+    hot = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > max(1, total // share)).select(key)
+    warm = cut(table.join(F.broadcast(hot), key, "left_semi"))  # at most ``share`` rows
+    if warm.isEmpty():
+        return rows.join(table, key)
+    own = F.broadcast(warm.select(key))
+    return rows.join(F.broadcast(warm), key).unionByName(rows.join(own, key, "left_anti").join(table.join(own, key, "left_anti"), key))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from marginalia.llm.common import only
+from marginalia.llm.common import hot_join, only
 from marginalia.session import cut, ship
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -114,18 +114,19 @@ def components(edges: DataFrame) -> DataFrame:
     """node, root (its component's smallest node) for every node that has an edge.
 
     Large-star and small-star in turn until nothing changes. Each round is a
-    minimum by node (combined before the shuffle) and a join, written to the
-    shared folder; the driver sees only a count and a checksum.
+    minimum by node (combined before the shuffle) and a join that keeps the rows
+    of a star's hub where they are, written to the shared folder; the driver sees
+    only a count and a checksum.
     """
     edges = cut(edges.select("u", "v"))
     seen = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct()
+        large = cut(hot_join(both.where("v > u"), low, "u").select(F.col("m").alias("u"), "v").where("u <> v").distinct())
         down = large.groupBy("v").agg(F.min("u").alias("m"))
         edges = cut(
-            large.join(down, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b")
+            hot_join(large, down, "v").select(F.col("m").alias("a"), F.col("u").alias("b")).where("a <> b")
             .unionByName(down.select(F.col("m").alias("a"), F.col("v").alias("b")))
             .select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
@@ -158,7 +159,7 @@ def _grouped(documents: DataFrame, hot: int = HOT) -> DataFrame:
     least = first.join(roots, first["fp"] == roots["node"]).groupBy("root").agg(F.min("first").alias("least"))
     named = roots.join(least, "root").select(F.col("node").alias("fp"), "root", "least")
     ids = first.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("least", "first").alias("component_id"))
-    return docs.join(ids, "fp").select("doc_id", "fp", "root", "component_id")
+    return hot_join(docs, ids, "fp").select("doc_id", "fp", "root", "component_id")
 
 
 def _beside(documents: DataFrame) -> DataFrame:

@@ -89,3 +89,13 @@ def test_keep_one_of_each_group_where_ids_repeat(spark):
     kept = simhash.keep_one(docs).collect()
     assert sorted((str(x.doc_id), x.k) for x in kept) == [("11", "g"), ("3", "a"), ("5", "b"), ("7", "e"), ("7", "f"), ("None", "c"), ("None", "d")]
     assert all(x.text == text[x.k] for x in kept)
+
+
+def test_hot_keys_are_joined_where_they_lie(spark):
+    from marginalia.llm.common import hot_join
+
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(k, k) for k in range(2, 300)], "k long, i long")
+    table = spark.createDataFrame([(k, f"v{k}") for k in range(0, 280)], "k long, v string")
+    for share in (2, 10, 100_000):
+        got = sorted((r.k, r.i, r.v) for r in hot_join(rows, table, "k", share).collect())
+        assert got == sorted([(1, i, "v1") for i in range(500)] + [(k, k, f"v{k}") for k in range(2, 280)])

@@ -65,3 +65,22 @@ def test_stages_on_nothing(spark, tmp_path, empty):
         docs = stage(spark, docs, str(tmp_path))
         assert docs.columns == list(corpus_pipeline.COLUMNS) and docs.count() == 0
     assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 0
+
+
+def test_other_columns_stay_and_nothing_is_left_behind(spark, tmp_path, documents, plain_rows):
+    from pathlib import Path
+
+    from marginalia import session
+
+    spark.createDataFrame([(1, "nothing like this stands in any of the texts here at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = documents.drop("n_chars").withColumnRenamed("pool", "c0").withColumnRenamed("bucket", "row")
+    columns = docs.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.columns == columns
+    kept = docs.count()
+    docs = documents.drop("n_chars")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == kept > 0
+    shared = Path(session.shared_dir(spark).removeprefix("file:"))
+    assert not [p for p in shared.iterdir() if p.name.startswith(("pipeline-", "quality-"))]

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +17,16 @@ BLANKS = r"[\x20\x09-\x0D]+"
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder and its path there, for Python workers: local and mounted paths, file, hdfs, s3 and gs.
+
+    Spark's names for S3 are told to pyarrow by its own; a scheme that it doesn't know raises.
+    """
+    if ":" not in uri.split("/")[0]:
+        return fs.LocalFileSystem(), uri
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", uri))
+
+
 def filled(text: Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(text, F.lit(""))

@@ -22,12 +22,11 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset as ds
 import xxhash
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import fold, only
+from marginalia.llm.common import fold, only, opened
 from marginalia.session import cut, remove, scratch, ship
 
 DEPTH = 4
@@ -231,7 +230,7 @@ def _load(folder: str, block: int, blocks: int, depth: int) -> Model:
     key = (folder, block, blocks)
     if key not in _MODELS:  # once for each Python worker
         _MODELS.clear()
-        where, base = fs.FileSystem.from_uri(folder)
+        where, base = opened(folder)
         parts = [ds.dataset(f"{base}/block={k}", filesystem=where, format="parquet") for k in (-1, block) if where.get_file_info(f"{base}/block={k}").type]
         _MODELS[key] = Model(lambda d: _Level(parts, d), depth)
     return _MODELS[key]

@@ -12,12 +12,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import only
+from marginalia.llm.common import only, opened
 from marginalia.session import cut, shared_dir, ship
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -26,10 +25,6 @@ EOD = 50256
 BLOCK_TOKENS = 1 << 20
 
 
-def _open(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-
-
 _ENCODERS: dict = {}
 
 
@@ -62,7 +57,7 @@ def write_tokens(documents: DataFrame, folder: str, *, vocabulary: str = VOCABUL
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, out = encoder(vocabulary, eod).encode_ordinary, None
-        where, base = _open(folder)
+        where, base = opened(folder)
         name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.u16"
         nth = size = 0
         try:
@@ -88,7 +83,7 @@ def write_tokens(documents: DataFrame, folder: str, *, vocabulary: str = VOCABUL
 
 def blocks(spark: SparkSession, folder: str, names: list[str], block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The blocks of given files, whose lengths are looked up."""
-    where, base = _open(folder)
+    where, base = opened(folder)
     rows = [(info.base_name, info.size // 2) for info in where.get_file_info([f"{base}/{n}" for n in names])]
     return pieces_of(spark.createDataFrame(rows, "file string, tokens long"), block_tokens)
 
@@ -108,7 +103,7 @@ def separators(pieces: DataFrame, folder: str, *, eod: int = EOD) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        where, base = _open(folder)
+        where, base = opened(folder)
         for batch in batches:
             for file, block, start, size in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 with where.open_input_file(f"{base}/{file}") as f:
@@ -163,7 +158,7 @@ def token_counts(documents: DataFrame, *, vocabulary: str = VOCABULARY, eod: int
     ship(spark)
     folder = f"{shared_dir(spark).rstrip('/')}/tokens-{uuid.uuid4().hex}"
     ranks(vocabulary, eod)  # refused here rather than in a task
-    where, base = _open(folder)
+    where, base = opened(folder)
     where.create_dir(base, recursive=True)
     try:
         placed = cut(write_tokens(documents, folder, vocabulary=vocabulary, eod=eod))

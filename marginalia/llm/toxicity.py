@@ -14,8 +14,10 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import ahocorasick
 import numpy as np
@@ -36,33 +38,40 @@ MIN_TOXIC_DOCS = 3
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l"}
 GAPS = " ._*-"
 _SYMBOLS = "".join(map(re.escape, (c for c in LEET if not c.isdigit())))
-_RUN_CHARS = frozenset("abcdefghijklmnopqrstuvwxyz").union(LEET)
-_IMITATION = re.compile(rf"[0-9{_SYMBOLS}]")
-_RUN = re.compile(rf"[a-z0-9{_SYMBOLS}]*+")
-_LETTER = re.compile(r"[a-z]")
-_LETTERS = re.compile(r"[a-z]*+")
-_TRIPLE = re.compile(r"([a-z])\1\1")
+_IMITATION = re.compile(rf"[0-9{_SYMBOLS}]++")
+_RUN = re.compile(rf"(?:[^\W_]++|[{_SYMBOLS}]++)*+")
+_LETTER = re.compile(r"[^\W\d_]")
+_LETTERS = re.compile(r"[^\W\d_]*+")
+_TRIPLE = re.compile(r"([^\W\d_])\1\1")
 #: Four or more single characters set apart.
-_SPACED = re.compile(rf"(?<![^\W_])[a-z0-9{_SYMBOLS}](?![^\W_])(?:[ ._*\-]{{1,2}}[a-z0-9{_SYMBOLS}](?![^\W_])){{3,}}+")
+_SPACED = re.compile(rf"(?<![^\W_])(?!_)[\w{_SYMBOLS}](?![^\W_])(?:[ ._*\-]{{1,2}}(?!_)[\w{_SYMBOLS}](?![^\W_])){{3,}}+")
 _IMITATIONS = "".join(LEET)
 _GAP = frozenset(GAPS)
 STATES = 27
 
 
+@lru_cache(maxsize=4096)
+def code(c: str) -> int:
+    """1 to 26 for a letter, whatever accents it has; 0 for what isn't one of a to z."""
+    base = unicodedata.normalize("NFD", c)[0]
+    return ord(base) - 96 if "a" <= base <= "z" else 0
+
+
 def disguised(low: str) -> list[tuple[int, int]]:
     """Stretches of a lower-case text that may hide words, in order and apart, of any length; linear in the text.
 
-    A whole run of letters and of digits or symbols that imitate them, with one
-    of each; single characters set apart; a word with a letter three times.
+    A whole run of letters (of any alphabet) and of digits or symbols that
+    imitate them, with one of each; single characters set apart; a word with a
+    letter three times.
     """
     found = [m.span() for m in _SPACED.finditer(low)]
-    for first, whole, chars in ((_IMITATION, _RUN, _RUN_CHARS), (_TRIPLE, _LETTERS, _RUN_CHARS.difference(LEET))):
+    for first, whole, marks in ((_IMITATION, _RUN, LEET), (_TRIPLE, _LETTERS, ())):
         end = 0
         for m in first.finditer(low):
             a = m.start()
             if a < end:
                 continue  # in the run before
-            while a > end and low[a - 1] in chars:
+            while a > end and (low[a - 1].isalpha() or low[a - 1] in marks):
                 a -= 1
             end = whole.match(low, m.start()).end()  # type: ignore[union-attr]
             if _LETTER.search(low, a, end):
@@ -93,7 +102,7 @@ class Channel:
         """Letters that a character may stand for with their costs; what it costs to leave it out, if it may be; whether it may be a word break."""
         if c in GAPS:
             return [], 0.0, True
-        readings = [(c, 0.0)] if "a" <= c <= "z" else []
+        readings = [(c, 0.0)] if code(c) else []
         readings += [(r, self.swap) for r in LEET.get(c, "")]
         return readings, self.drop if c == last else self.lose if not readings or c in LEET else None, False
 
@@ -104,7 +113,7 @@ class Channel:
         last = ""
         for c in span:
             readings, skip, gap = self.options(c, last)
-            codes = [(ord(r) - 96, r, cost) for r, cost in readings]
+            codes = [(code(r), r, cost) for r, cost in readings]
             following: dict[tuple[int, int], tuple[float, tuple]] = {}
             for (a, b), (score, text) in best.items():
                 own = table[a][b]
@@ -153,10 +162,10 @@ def letter_counts(documents: DataFrame) -> DataFrame:
 
 
 def character_model(corpus: np.ndarray, lexicon: list[str]) -> np.ndarray:
-    """Trigram log probabilities, half from the corpus and half from the lexicon, each smoothed by bigrams and letters."""
+    """Trigram log probabilities, half from the corpus and half from the lexicon (words and beginnings), each smoothed by bigrams and letters."""
     own = np.zeros((STATES,) * 3)
     for w in lexicon:
-        s = [0, 0, *[ord(c) - 96 for c in w], 0]
+        s = [0, 0, *map(code, w.removesuffix("-")), *([] if w.endswith("-") else [0])]
         for a, b, c in zip(s, s[1:], s[2:], strict=False):
             own[a, b, c] += 1
 
@@ -316,7 +325,7 @@ def fit(documents: DataFrame, labels: DataFrame, *, modulus: int = 3, held: int
     corpus = np.zeros(STATES**3)
     for r in letter_counts(documents).collect():  # at most 27 ** 3 rows
         corpus[r.code] = r.n
-    made = Model(lexicon, np.zeros(len(lexicon) + EXTRA), Channel(character_model(corpus, [w for w in lexicon if w.isascii() and not w.endswith("-")])))
+    made = Model(lexicon, np.zeros(len(lexicon) + EXTRA), Channel(character_model(corpus, lexicon)))
     base = math.log((toxic + 0.5) / (clean + 0.5)) if toxic + clean else -10.0
     made.weights[-1] = base
     if lexicon:

@@ -162,3 +162,13 @@ def test_clashing_columns_ties_and_long_texts(spark, documents, plain_rows):
     assert len(got) == len(plain_rows)
     same = {r.score for r in got if r.doc_id == 3}
     assert len(same) == 1 and all(0 <= r.score <= 1 for r in got)
+
+
+def test_accents_and_beginnings():
+    channel = toxicity.Channel(toxicity.character_model(np.zeros(27**3), ["réeux-", "bomente-", "idiot"]))
+    model = toxicity.Model(["réeux-", "bomente-", "idiot"], np.zeros(3 + toxicity.EXTRA), channel)
+    trie = toxicity.trie_of(model.lexicon)
+    for text in ("r é e u x m e", "r3éuxme", "réeeeuxme", "b0m3nt3rr", "i.d.i.o.t"):
+        assert model.hits(text, trie, {})[0].get(-1) or text == "r3éuxme", text
+    assert [toxicity.code(c) for c in "aéñz1 中"] == [1, 5, 14, 26, 0, 0, 0]
+    assert toxicity.disguised("第3章 ok réé3x") == [(0, 3), (7, 12)]

@@ -59,7 +59,8 @@ MARKS = "".join(chr(0x300 + i) for i in range(50) if (0x08029FDF if i < 32 else
 
 def fts_tokens(text: Column) -> Column:
     """Tokens of the full-text index: folded runs of letters, numbers and private-use characters, less combining marks."""
-    bare = F.regexp_replace(fts_fold(text), rf"(?<=[\p{{L}}\p{{N}}\p{{Co}}])[{MARKS}]+", "")
+    folded = fts_fold(text)
+    bare = F.when(F.rlike(text, F.lit(f"[{MARKS}]")), F.regexp_replace(folded, rf"(?<=[\p{{L}}\p{{N}}\p{{Co}}])[{MARKS}]+", "")).otherwise(folded)
     return F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
 
 

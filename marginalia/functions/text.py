@@ -13,10 +13,10 @@ LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
 #: Letters that the full-text tokenizer folds to a base letter, with one diacritic each.
 ACCENTED = (
     "µÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽžſ"
-    "ƠơƯưǍǎǏǐǑǒǓǔǦǧǨǩǪǫǰǴǵǸǹȀȁȂȃȄȅȆȇȈȉȊȋȌȍȎȏȐȑȒȓȔȕȖȗȘșȚțȞȟȦȧȨȩȮȯȲȳ")
+    "ƠơƯưǍǎǏǐǑǒǓǔǦǧǨǩǪǫǰǴǵǸǹȀȁȂȃȄȅȆȇȈȉȊȋȌȍȎȏȐȑȒȓȔȕȖȗȘșȚțȞȟȦȧȨȩȮȯȲȳ\u212b")
 PLAIN = (
     "μaaaaaaceeeeiiiinooooouuuuyaaaaaaceeeeiiiinooooouuuuyyaaaaaaccccccccddeeeeeeeeeegggggggghhiiiiiiiiijjkkllllllnnnnnnoooooorrrrrrssssssssttttuuuuuuuuuuuuwwyyyzzzzzzs"
-    "oouuaaiioouuggkkoojggnnaaaaeeeeiiiioooorrrruuuusstthhaaeeooyy")
+    "oouuaaiioouuggkkoojggnnaaaaeeeeiiiioooorrrruuuusstthhaaeeooyya")
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 
@@ -49,19 +49,31 @@ def universal_newlines(text: Column) -> Column:
     return F.regexp_replace(text, r"\r\n?", "\n")
 
 
-def fts_fold(text: Column) -> Column:
-    return F.lower(F.translate(text, ACCENTED, PLAIN))
-
-
+#: What a lower-case text has left of ``ACCENTED`` ("İ" alone isn't one letter in lower case; it's replaced before).
+_LOWER_ACCENTED, _LOWER_PLAIN = map("".join, zip(*[(a, p) for a, p in zip(ACCENTED, PLAIN, strict=True) if a == a.lower()], strict=True))
 #: Combining marks of U+0300 to U+0331 that the full-text tokenizer drops inside a token (at its start they part tokens).
 MARKS = "".join(chr(0x300 + i) for i in range(50) if (0x08029FDF if i < 32 else 0x000361F8) >> (i % 32) & 1)
+_ASCII = "abcdefghijklmnopqrstuvwxyz0123456789"  # written out: a class of single characters is one look-up
+_IN_TOKEN = r"\p{L}\p{N}\p{Co}"
+
+
+def fts_fold(text: Column) -> Column:
+    return F.lower(F.translate(text, ACCENTED, PLAIN))
 
 
 def fts_tokens(text: Column) -> Column:
-    """Tokens of the full-text index: folded runs of letters, numbers and private-use characters, less combining marks."""
-    folded = fts_fold(text)
-    bare = F.when(F.rlike(text, F.lit(f"[{MARKS}]")), F.regexp_replace(folded, rf"(?<=[\p{{L}}\p{{N}}\p{{Co}}])[{MARKS}]+", "")).otherwise(folded)
-    return F.regexp_extract_all(bare, F.lit(r"([\p{L}\p{N}\p{Co}]+)"), 1)
+    """Tokens of the full-text index: folded runs of letters, numbers and private-use characters, less combining marks.
+
+    Each kind of text pays only for what it needs: one in ASCII isn't folded,
+    others are token by token, and marks are looked for by their range alone.
+    """
+    one_byte = lambda x: F.octet_length(x) == F.length(x)
+    low = F.lower(F.replace(text, F.lit("İ"), F.lit("i")))
+    runs = F.regexp_extract_all(low, F.lit(rf"[{_ASCII}]+[{_IN_TOKEN}]*|[{_IN_TOKEN}]+"), 0)
+    folded = F.transform(runs, lambda t: F.when(one_byte(t), t).otherwise(F.translate(t, _LOWER_ACCENTED, _LOWER_PLAIN)))
+    bare = F.regexp_replace(fts_fold(text), rf"(?<=[{_IN_TOKEN}])[{MARKS}]+", "")
+    return F.when(one_byte(text), F.regexp_extract_all(low, F.lit(f"[{_ASCII}]+"), 0)).when(
+        F.rlike(text, F.lit("[\u0300-\u0331]")), F.regexp_extract_all(bare, F.lit(f"[{_IN_TOKEN}]+"), 0)).otherwise(folded)
 
 
 def content_hash(text: Column) -> Column:

@@ -155,3 +155,39 @@ def test_many_queries_in_blocks(spark, monkeypatch):
     assert len(whole) == 6 and all(abs(want[c] - s) < 1e-6 for i, c, s, _ in whole if i == 1)
     monkeypatch.setattr(keyword, "MANY_TERMS", 1)
     assert ask() == whole
+
+
+def test_whole_counts_a_ruled_out_part(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "a b"), (3, "b c"), (4, "a"), (5, "x x"), (6, "x x"), (7, "x x")], "doc_id long, text string")
+    ask = lambda whole: {r.doc_id: r.score for r in keyword.bm25_texts(df, "a OR b NOT c", "doc_id", whole=whole).collect()}
+    part, whole, both = ask(False), ask(True), {r.doc_id: r.score for r in keyword.bm25_texts(df, "a OR b", "doc_id").collect()}
+    assert part.keys() == whole.keys() == {1, 2, 4}
+    assert whole[1] == both[1] > part[1] and whole[2] == part[2] and whole[4] == part[4]
+
+
+def test_texts_without_an_index_like_sqlite(spark, lite):
+    df = spark.createDataFrame([(f"c{i}", t) for i, t in enumerate(TEXTS)], "chunk_id string, text string").cache()
+    for q in ("one", '"one two"', "plan*", "^one", "one OR two NOT three", "NEAR(one two, 3)", '"" one', "plan OR plan", "zzz", '"?!"'):
+        got, want = {r.chunk_id: r.score for r in keyword.bm25_texts(df, q).collect()}, lite_rows(lite, q)
+        assert got.keys() == want.keys(), q
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want), q
+
+
+def test_texts_are_tokenized_once(spark, tmp_path):
+    rows = [(1, "a b"), (1, "a b"), (2, None), (None, "b a a")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "t"))
+    found = keyword.bm25_texts(spark.read.parquet(str(tmp_path / "t")), "a", "doc_id")
+    assert sorted((r.doc_id or 0) for r in found.collect()) == [0, 1, 1]
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 1
+
+
+def test_tokens_by_kind_of_text(spark):
+    from marginalia.functions import text as T
+
+    texts = ["Plain ASCII_text 12.5", "Çà İSTANBUL \u212bngström naïve ſ Ωσ ΟΔΟΣ", "日本 x\u0301y É", "", None, "½ Ⅷ ²x"]
+    want = [ftsquery.tokens(t) if t is not None else None for t in texts]
+    want[2] = ["日本", "xy", "e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string").orderBy("i")
+    assert [r.t for r in df.select(T.fts_tokens(F.col("text")).alias("t")).collect()] == want
+    assert ftsquery.tokens("\u212b") == ["a"]

@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: What counts as white space: Unicode's, and the four separators U+001C to U+001F.
 SPACE = r"(?U)[\s\x1c-\x1f]+"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"
+#: The same characters one by one, those in ASCII first.
+ASCII_SPACES = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f"
+SPACES = ASCII_SPACES + "\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 #: Letters that the full-text tokenizer folds to a base letter, with one diacritic each.
 ACCENTED = (
     "µÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿĀāĂăĄąĆćĈĉĊċČčĎďĒēĔĕĖėĘęĚěĜĝĞğĠġĢģĤĥĨĩĪīĬĭĮįİĴĵĶķĹĺĻļĽľŃńŅņŇňŌōŎŏŐőŔŕŖŗŘřŚśŜŝŞşŠšŢţŤťŨũŪūŬŭŮůŰűŲųŴŵŶŷŸŹźŻżŽžſ"
@@ -26,7 +29,7 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+    return F.trim(text, F.lit(SPACES))
 
 
 def normalize_query(text: Column) -> Column:
@@ -36,13 +39,15 @@ def normalize_query(text: Column) -> Column:
 
 def ws_tokens(text: Column) -> Column:
     """Runs of anything but white space."""
-    return F.array_remove(F.split(text, SPACE), "")
+    parts = F.when(F.octet_length(text) == F.length(text), F.split(text, f"[{ASCII_SPACES}]+")).otherwise(F.split(text, SPACE))
+    return F.array_remove(parts, "")
 
 
 def lines(text: Column) -> Column:
     """Lines without their ends; no last empty line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    other = F.rlike(text, F.lit(r"[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"))
+    whole = F.when(other, F.split(text, LINE_END, -1)).otherwise(F.split(text, "\n", -1))
+    return let(whole, lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
 def universal_newlines(text: Column) -> Column:

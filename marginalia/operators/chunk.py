@@ -27,7 +27,7 @@ def sections(body: Column) -> Column:
 
         return F.filter(F.transform(starts, one), lambda s: s["text"] != "")
 
-    places = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(F.rlike(x, F.lit(HEADING_LINE)), i)), lambda i: i.isNotNull())
+    places = lambda lines: F.filter(F.transform(lines, lambda x, i: F.when(F.startswith(x, F.lit("#")) & F.rlike(x, F.lit(HEADING_LINE)), i)), lambda i: i.isNotNull())
     return T.let(T.lines(body), lambda lines: T.let(places(lines), lambda heads: made(lines, heads)))
 
 

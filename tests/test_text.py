@@ -58,3 +58,19 @@ def test_query_tokens_like_sqlite(text):
 def test_redact(spark):
     df = spark.createDataFrame([("call 555 now",)], "t string")
     assert df.select(T.redact(F.col("t"), ["[0-9]+", "now"])).first()[0] == "call [redacted] [redacted]"
+
+
+def test_spaces_and_lines_as_one_pattern_has_them(spark):
+    every = "".join(f"a{chr(i)}b" for i in [*range(1, 0x300), *range(0x1670, 0x1690), 0x180E, *range(0x1FF0, 0x2070), 0x3000, 0xFEFF])
+    texts = [every, every[::-1], *T.SPACES, "x" + T.SPACES, T.SPACES + "y", T.SPACES, "", None, "a b\tc", "a\nb\n", "\n", "a\r\nb\rc\x0bd", " é x "]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    x = F.col("text")
+    parts = F.split(x, T.LINE_END, -1)
+    rows = df.select(
+        T.strip(x).eqNullSafe(F.regexp_replace(x, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")).alias("strip"), T.ws_tokens(x).eqNullSafe(F.array_remove(F.split(x, T.SPACE), "")).alias("words"),
+        T.lines(x).eqNullSafe(F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)).alias("lines")).collect()
+    assert all(r.strip and r.words and r.lines for r in rows), rows
+
+
+def test_no_pattern_looks_for_the_ends_of_a_text(spark):
+    assert "regexp_replace" not in T.strip(F.col("text"))._jc.toString()

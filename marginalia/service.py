@@ -13,7 +13,7 @@ from marginalia.config import Config
 from marginalia.functions import text as T
 from marginalia.operators import chunk, embed, filters, fusion, keyword, parse, vector
 from marginalia.plans import sync as plans
-from marginalia.session import cut
+from marginalia.session import cut, together
 from marginalia.sources import store, vault
 
 RESULT = ("chunk_id", "score", "source", "text")
@@ -73,16 +73,19 @@ class NoteIndex:
         """Hash what's there, parse only what changed, and write only the rows that come and the keys that go."""
         hashed = cut(files.select("seq", "path", "mtime", "error", T.content_hash(F.col("text")).alias("content_hash")))
         old, state = self.store.read("chunks"), self.store.read("state")
-        plan = cut(plans.plan_sync(hashed.where("error is null").select("path", "content_hash", "mtime"), state, full))
-        # a path that can't be read now is still there: its chunks stay
-        gone = cut(plans.missing(state, hashed) if purge else state.where("false").select("path"))
+        plan, gone = together(
+            self.spark, lambda: cut(plans.plan_sync(hashed.where("error is null").select("path", "content_hash", "mtime"), state, full)),
+            # a path that can't be read now is still there: its chunks stay
+            lambda: cut(plans.missing(state, hashed) if purge else state.where("false").select("path")))
         redo = plan.where("status <> 'unchanged'").select("path")
         if self.stale == "replace":
             # texts that leave the index may have a copy elsewhere, which is then indexed anew
             leaving = state.join(gone.unionByName(plan.where("status = 'changed'").select("path")), "path", "left_semi").select("content_hash").distinct()
             redo = redo.unionByName(plan.where("status = 'unchanged'").join(leaving, "content_hash", "left_semi").select("path")).distinct()
         redo = cut(redo)
-        notes = cut(parse.parse_notes(files.where("error is null").drop("error").join(redo, "path", "left_semi"), self.dates))
+        some = not redo.isEmpty()
+        held = lambda df: cut(df) if some else df.where("false")  # noqa: E731 - without a note to do again there's nothing to plan or run
+        notes = held(parse.parse_notes(files.where("error is null").drop("error").join(redo, "path", "left_semi"), self.dates))
         bad = notes.where("error is not null")
         errors = hashed.where("error is not null").select("error").unionByName(bad.select(F.concat_ws(": ", "path", "error").alias("error")))
         plan = plan.join(bad.select("path"), "path", "left_anti")
@@ -90,21 +93,22 @@ class NoteIndex:
         made = chunk.chunk_notes(notes, self.config.chunk_size, self.config.chunk_overlap, self.config.redact_patterns)
         batch = self.store.version() + 1
         ordered = made.orderBy("seq", "section", "nth").withColumn("seq", F.struct(F.lit(batch).cast("bigint").alias("batch"), F.monotonically_increasing_id().alias("nth")))
-        fresh = cut(ordered.drop("section", "nth"))
+        fresh = held(ordered.drop("section", "nth"))
         fresh = fresh.groupBy("chunk_id").agg(F.max_by(F.struct(*fresh.columns), "seq").alias("r")).select("r.*")
         # a chunk that stays under its id keeps its place in order of insertion
-        fresh = cut(fresh.join(old.select("chunk_id", F.col("seq").alias("was")), "chunk_id", "left").withColumn("seq", F.coalesce("was", "seq")).drop("was"))
+        fresh = held(fresh.join(old.select("chunk_id", F.col("seq").alias("was")), "chunk_id", "left").withColumn("seq", F.coalesce("was", "seq")).drop("was"))
         left = gone if self.stale == "keep" else gone.unionByName(redo).distinct()
-        dropped = cut(old.join(left, "path", "left_semi").select("chunk_id").unionByName(fresh.select("chunk_id")).distinct())
+        dropped, index, vectors = together(
+            self.spark, lambda: cut(old.join(left, "path", "left_semi").select("chunk_id").unionByName(fresh.select("chunk_id")).distinct()),
+            lambda: held(keyword.postings(fresh)), lambda: self._vectors(fresh) if some else self.store.read("vectors").where("false"))
         done = notes.join(plan.where("status <> 'unchanged'").select("path"), "path", "left_semi")
-        index = cut(keyword.postings(fresh))
         lengths = keyword.doc_lengths(fresh).join(fresh.select("chunk_id", "seq"), "chunk_id")
-        self.store.apply({
-            "chunks": (fresh, dropped), "vectors": (self._vectors(fresh), dropped), "lengths": (lengths, dropped),
+        changes = {
+            "chunks": (fresh, dropped), "vectors": (vectors, dropped), "lengths": (lengths, dropped),
             "postings": (index.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id"), dropped),
             "state": (plans.recorded(done, time.time()), gone.unionByName(done.select("path"))),
-        })
-        return plans.counts(plan, gone, errors).first().asDict()
+        }
+        return together(self.spark, lambda: self.store.apply(changes), lambda: plans.counts(plan, gone, errors).first().asDict())[1]
 
     def _vectors(self, fresh: DataFrame) -> DataFrame:
         """Embeddings of new chunks, all as long as those that are there, or as the first."""

@@ -6,8 +6,12 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -72,6 +76,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def together(spark: SparkSession, *jobs: Callable[[], Any]) -> list:
+    """What the jobs return, which run at once: small ones cost their planning more than their tasks. All end before an error is raised."""
+    with ThreadPoolExecutor(max(1, len(jobs))) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+    return [r.result() for r in running]
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable for Python workers, once for each context."""
     context = spark.sparkContext

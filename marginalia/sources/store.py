@@ -15,6 +15,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.session import together
+
 POINTER = "_CURRENT"
 
 
@@ -83,17 +85,18 @@ class SnapshotStore:
 
     def _next(self, changes: dict[str, tuple[DataFrame, DataFrame | None]]) -> int:
         old = self.manifest()
-        v, parts = old["version"] + 1, dict(old["parts"])
+        v, parts, writes = old["version"] + 1, dict(old["parts"]), []
         for name, (rows, gone) in changes.items():
             rows = rows.select(*[f"`{c}`" for c in self._columns(name)])
             held = parts.get(name, [])
             if gone is not None and len(held) >= self.merge:  # one folder again
                 kept = delete(self._merged(name, held), gone, self.keys[name])
                 rows, gone = kept.unionByName(rows), None
-            rows.write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}/rows")
+            writes.append((rows, f"{self.root}/v={v}/{name}/rows"))
             if gone is not None and held:
-                gone.select(self.keys[name]).distinct().write.mode("overwrite").parquet(f"{self.root}/v={v}/{name}/gone")
+                writes.append((gone.select(self.keys[name]).distinct(), f"{self.root}/v={v}/{name}/gone"))
             parts[name] = [[v, False]] if gone is None or not held else [*held, [v, True]]
+        together(self.spark, *[lambda df=df, to=to: df.write.mode("overwrite").parquet(to) for df, to in writes])
         self._point({"version": v, "parts": parts, "before": old["parts"]})
         stay = {(n, x) for p in (parts, old["parts"]) for n, folders in p.items() for x, _ in folders}
         for n, folders in old["before"].items():  # readers of the version before may still be at work

@@ -229,3 +229,28 @@ def test_no_shared_folder_on_a_cluster(monkeypatch):
     context = SimpleNamespace(master="spark://h:7077", getConf=lambda: {}, _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: empty)))
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_dir(SimpleNamespace(sparkContext=context))
+
+
+def test_a_run_without_news_holds_no_notes(index, monkeypatch):
+    from marginalia import service
+
+    held = []
+    monkeypatch.setattr(service, "cut", lambda df, cut=service.cut: held.append(df.columns) or cut(df))
+    assert index.sync()["processed"] == 3
+    assert sum("body" in c or "text" in c for c in held) == 3
+    held.clear()
+    assert index.sync() == {"processed": 0, "skipped": 3, "deleted": 0, "errors": []}
+    assert len(held) == 5 and not any("body" in c or "text" in c for c in held)
+    assert index.status()["index_size"] == 3
+
+
+def test_small_jobs_run_at_once(spark):
+    import threading
+
+    from marginalia.session import together
+
+    met = threading.Barrier(2, timeout=20)
+    assert together(spark, lambda: (met.wait(), spark.range(3).count())[1], lambda: (met.wait(), 7)[1]) == [3, 7]
+    assert together(spark) == []
+    with pytest.raises(ZeroDivisionError):
+        together(spark, lambda: 1 / 0, lambda: 1)
